@@ -45,6 +45,34 @@ def count_runs(items: Column, name: str) -> Column:
     return let(F.sort_array(items), lambda s: F.when(F.size(s) > 0, runs(s)).otherwise(empty))
 
 
+def gather_runs(items: Column) -> Column:
+    """``array<struct<word, at>>`` grouped by word: ``array<struct<word, n, at array>>``.
+
+    The counterpart of ``count_runs`` that also keeps where each item occurs.
+    """
+
+    def word(s: Column, i: Column) -> Column:
+        return F.get(s, i)["word"]
+
+    def runs(s: Column) -> Column:
+        starts = F.filter(
+            F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (word(s, i) != word(s, i - 1))
+        )
+
+        def entry(st: Column, begin: Column, j: Column) -> Column:
+            length = F.coalesce(F.get(st, j + 1), F.size(s)) - begin
+            return F.struct(
+                word(s, begin).alias("word"),
+                length.cast("long").alias("n"),
+                F.transform(F.slice(s, begin + 1, length), lambda x: x["at"]).alias("at"),
+            )
+
+        return let(starts, lambda st: F.transform(st, lambda begin, j: entry(st, begin, j)))
+
+    empty = F.array().cast("array<struct<word:string,n:bigint,at:array<int>>>")
+    return let(F.sort_array(items), lambda s: F.when(F.size(s) > 0, runs(s)).otherwise(empty))
+
+
 def dot(a: Column, b: Column) -> Column:
     """Inner product of two arrays of doubles, summed in index order."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)

@@ -15,3 +15,7 @@ STOP_WORDS = tuple(dict.fromkeys(CUSTOM_STOP_WORDS + FUNCTION_WORDS))
 
 SCORE_DIGITS = 9
 SIMILARITY_DIGITS = 6
+
+PAIR_THRESHOLD = 0.2
+# The columns of the wide similarity table; its rows are all documents.
+WIDE_IDS = tuple(range(10))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from textloom.functions import text as T
-from textloom.queries.settings import STOP_WORDS
+from textloom.queries.settings import PAIR_THRESHOLD, STOP_WORDS, WIDE_IDS
 
 
 def quoted(value: str) -> str:
@@ -163,6 +163,245 @@ FROM counts GROUP BY doc_id""",
     ),
 }
 
+CLEAN = SQL["clean_text"]
+CHUNKS = f"""clean AS ({CLEAN}),
+words AS (SELECT doc_id, regexp_extract_all(clean, '[a-z0-9]+') AS w FROM clean),
+chunks AS (
+  SELECT doc_id, i AS chunk_idx, array_to_string(w[i * 100 + 1:i * 100 + 100], ' ') AS chunk
+  FROM (SELECT doc_id, w, unnest(range(0, (len(w) + 99) // 100)) AS i FROM words))"""
+
+
+def overlap_cte(max_tokens: int, overlap: int) -> str:
+    step = max_tokens - overlap
+    return f"""spaced AS (SELECT doc_id, text, {SPACED} AS w FROM documents),
+chunks AS (
+  SELECT doc_id, i // {step} AS chunk_idx,
+         CASE WHEN len(w) <= {max_tokens} THEN text
+              ELSE array_to_string(w[i + 1:i + {max_tokens}], ' ') END AS chunk,
+         len(w) > {max_tokens} AS split
+  FROM (SELECT doc_id, text, w,
+          unnest(CASE WHEN len(w) <= {max_tokens} THEN [0] ELSE range(0, len(w), {step}) END) AS i
+        FROM spaced))"""
+
+
+VECS = """vecs AS (
+  SELECT vec_id AS doc_id, label AS cluster, list_transform(embedding, lambda x: x::DOUBLE) AS v
+  FROM embeddings)"""
+PAIRS = """pairs AS (
+  SELECT a.doc_id AS doc1, b.doc_id AS doc2, round(list_cosine_similarity(a.v, b.v), 6) AS cosine
+  FROM vecs a JOIN vecs b ON a.doc_id <> b.doc_id)"""
+DISTANCES = """apart AS (
+  SELECT a.doc_id, a.cluster, b.cluster AS other, list_distance(a.v, b.v) AS d
+  FROM vecs a JOIN vecs b ON a.doc_id <> b.doc_id)"""
+
+
+def silhouette_of(distance: str) -> str:
+    return with_(
+        VECS,
+        DISTANCES,
+        f"""means AS (SELECT doc_id, cluster, other, avg({distance}) AS m FROM apart GROUP BY ALL),
+ab AS (SELECT doc_id, max(m) FILTER (other = cluster) AS a, min(m) FILTER (other <> cluster) AS b
+  FROM means GROUP BY doc_id),
+s AS (SELECT coalesce((b - a) / greatest(a, b), 0) AS s FROM ab)""",
+        select="SELECT count(*)::BIGINT AS points, round(avg(s), 6) AS silhouette FROM s",
+    )
+
+
+def within_of(cluster: str) -> str:
+    return with_(
+        VECS,
+        f"""x AS (SELECT {cluster} AS cluster, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM vecs),
+g AS (SELECT cluster, i, var_pop(x) * count(*) AS ss FROM x GROUP BY ALL)""",
+        select="SELECT count(DISTINCT cluster)::INTEGER AS k, round(sum(ss), 6) AS wss FROM g",
+    )
+
+
+def kmeans_rounds(rounds: int) -> str:
+    ctes = [
+        VECS,
+        "x AS (SELECT doc_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM vecs)",
+        "a0 AS (SELECT doc_id, cluster FROM vecs)",
+    ]
+    for r in range(1, rounds + 1):
+        ctes.append(f"""c{r} AS (SELECT cluster, i, avg(x) AS m FROM x JOIN a{r - 1} USING (doc_id) GROUP BY ALL),
+d{r} AS (SELECT doc_id, cluster, sum((x - m) * (x - m)) AS d FROM x JOIN c{r} USING (i) GROUP BY ALL),
+a{r} AS (SELECT doc_id, arg_min(cluster, (d, cluster)) AS cluster FROM d{r} GROUP BY doc_id)""")
+    return with_(*ctes, select=f"SELECT doc_id, cluster FROM a{rounds}")
+
+
+MEMBERS = "members AS (SELECT doc_id, quality AS cluster FROM labels)"
+KEYWORDS = """keywords AS (
+  SELECT cluster, word AS keyword, round(avg(tf) * any_value(idf), 9) AS avg_tfidf,
+         count(*)::BIGINT AS doc_freq, sum(n)::BIGINT AS total_occurrences
+  FROM scored JOIN members USING (doc_id) GROUP BY cluster, word
+  QUALIFY row_number() OVER (PARTITION BY cluster
+    ORDER BY round(avg(tf) * any_value(idf), 9) DESC, word) <= 15)"""
+
+SQL |= {
+    "word_chunks": with_(CHUNKS, select="SELECT doc_id, chunk_idx::BIGINT AS chunk_idx, chunk FROM chunks"),
+    "overlap_chunks": with_(
+        overlap_cte(500, 50), select="SELECT doc_id, chunk_idx::BIGINT AS chunk_idx, chunk FROM chunks"
+    ),
+    "chunk_stats": with_(
+        CHUNKS,
+        select="""SELECT count(DISTINCT doc_id)::BIGINT AS documents, count(*)::BIGINT AS chunks,
+       round(count(*) / count(DISTINCT doc_id), 6) AS mean_chunks FROM chunks""",
+    ),
+    "vectors_wide": "SELECT vec_id AS doc_id, "
+    + ", ".join(f"round(embedding[{i}]::DOUBLE, 6) AS v{i}" for i in range(1, 65))
+    + " FROM embeddings",
+    "embed_hashed": with_(
+        *WORD_SCORES,
+        """hashed AS (
+  SELECT doc_id, ('0x' || substr(md5(word), 1, 8))::BIGINT % 64 AS dim,
+         round(n * idf, 6)::DECIMAL(28, 6)
+           * CASE WHEN ('0x' || substr(md5(word), 16, 1))::BIGINT % 2 = 1 THEN -1 ELSE 1 END AS value
+  FROM scored),
+sums AS (SELECT doc_id, dim, sum(value)::DOUBLE AS value FROM hashed GROUP BY ALL)""",
+        select="""SELECT * FROM (
+  SELECT doc_id, dim, round(value / sqrt(sum(value * value) OVER (PARTITION BY doc_id)), 6) AS value
+  FROM sums) WHERE value <> 0""",
+    ),
+    "cosine_pairs": with_(VECS, PAIRS, select=f"SELECT * FROM pairs WHERE cosine >= {PAIR_THRESHOLD}"),
+    "similarity_long": with_(
+        VECS,
+        PAIRS,
+        select=f"""SELECT * FROM pairs WHERE cosine >= {PAIR_THRESHOLD}
+UNION ALL SELECT doc_id, doc_id, 1.0::DOUBLE FROM vecs""",
+    ),
+    "similarity_wide": with_(
+        VECS,
+        select="SELECT a.doc_id, "
+        + ", ".join(
+            f"round(list_cosine_similarity(a.v, (SELECT v FROM vecs WHERE doc_id = {i})), 6) AS sim_{i}"
+            for i in WIDE_IDS
+        )
+        + " FROM vecs a",
+    ),
+    "top_similar": with_(
+        VECS,
+        PAIRS,
+        select="""SELECT doc1 AS source_document, doc2 AS similar_document, cosine AS similarity_score,
+  row_number() OVER (PARTITION BY doc1 ORDER BY cosine DESC, doc2)::BIGINT AS rank
+FROM pairs QUALIFY row_number() OVER (PARTITION BY doc1 ORDER BY cosine DESC, doc2) <= 5""",
+    ),
+    "most_similar": with_(
+        VECS,
+        PAIRS,
+        select="""SELECT doc1 AS source_document, doc2 AS most_similar,
+  cosine AS similarity_to_most_similar
+FROM pairs QUALIFY row_number() OVER (PARTITION BY doc1 ORDER BY cosine DESC, doc2) = 1""",
+    ),
+    "similarity_stats": with_(
+        VECS,
+        PAIRS,
+        "most AS (SELECT * FROM pairs ORDER BY cosine DESC, doc1, doc2 LIMIT 1)",
+        "least AS (SELECT * FROM pairs ORDER BY cosine, doc1, doc2 LIMIT 1)",
+        select="""SELECT (SELECT count(*) FROM vecs)::BIGINT AS documents,
+  (SELECT max(len(v)) FROM vecs)::BIGINT AS dimensions,
+  (SELECT round(avg(list_cosine_similarity(a.v, b.v)), 4)
+   FROM vecs a JOIN vecs b ON a.doc_id < b.doc_id) AS mean_similarity,
+  m.doc1 AS most_similar_doc1, m.doc2 AS most_similar_doc2, m.cosine AS most_similarity,
+  l.doc1 AS least_similar_doc1, l.doc2 AS least_similar_doc2, l.cosine AS least_similarity
+FROM most m, least l""",
+    ),
+    "kmeans_from": kmeans_rounds(2),
+    "elbow_one": within_of("0"),
+    "within_ss": within_of("cluster"),
+    "silhouette": silhouette_of("d"),
+    "silhouette_sq": "SELECT silhouette FROM (" + silhouette_of("d * d") + ")",
+    "cluster_sizes": with_(
+        MEMBERS,
+        select="""SELECT cluster, count(*)::BIGINT AS documents,
+  round(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM members), 1) AS percent
+FROM members GROUP BY cluster ORDER BY cluster""",
+    ),
+    "cluster_members": with_(MEMBERS, select="SELECT cluster, doc_id FROM members ORDER BY ALL"),
+    "cluster_reps": with_(
+        MEMBERS, select="SELECT cluster, min(doc_id) AS doc_id FROM members GROUP BY cluster"
+    ),
+    "cluster_keywords": with_(*WORD_SCORES, MEMBERS, KEYWORDS, select="SELECT * FROM keywords"),
+    "cluster_cloud": with_(
+        *WORD_SCORES,
+        MEMBERS,
+        KEYWORDS,
+        select="SELECT cluster, keyword AS word, total_occurrences AS frequency FROM keywords",
+    ),
+}
+
+
+IDF = (*WORD_SCORES, "idf AS (SELECT DISTINCT word, idf FROM scored)")
+
+
+def summary_ctes(source: str, name: str, keys: str, least: int, most: int) -> str:
+    """Summaries of ``source(keys, text)`` as ``name(keys, summary)``."""
+    s = name
+    return f"""{s}_s AS (
+  SELECT {keys}, idx, sentence, len(regexp_extract_all(sentence, {NON_SPACE})) AS nw
+  FROM (SELECT {keys}, unnest(ss) AS sentence, generate_subscripts(ss, 1) - 1 AS idx
+    FROM (SELECT {keys}, list_filter(list_transform(
+            regexp_extract_all(coalesce(text, ''), {SENTENCE}),
+            lambda x: trim(regexp_replace(x, '[ \\t\\r\\f\\x0b]+', ' ', 'g'))),
+            lambda x: x <> '') AS ss FROM {source}))),
+{s}_w AS (
+  SELECT {keys}, idx, unnest(regexp_extract_all(lower(sentence), {WORD})) AS word FROM {s}_s),
+{s}_v AS (
+  SELECT {keys}, idx, round(count(*) OVER (PARTITION BY {keys}, word) * idf, 6)::DECIMAL(20, 6) AS value
+  FROM {s}_w JOIN idf USING (word)),
+{s}_c AS (
+  SELECT {keys}, idx, round(sum(value)::DOUBLE / count(*), 6) AS score FROM {s}_v GROUP BY ALL),
+{s}_t AS (
+  SELECT {keys}, idx, sentence,
+    coalesce(sum(nw) OVER (PARTITION BY {keys} ORDER BY coalesce(score, 0) DESC, idx
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM {s}_s LEFT JOIN {s}_c USING ({keys}, idx)),
+{s}_j AS (
+  SELECT {keys}, string_agg(sentence, ' ' ORDER BY idx) AS joined FROM {s}_t
+  WHERE before < {least} GROUP BY {keys}),
+{s} AS (
+  SELECT {keys}, array_to_string(regexp_extract_all(joined, {NON_SPACE})[1:{most}], ' ') AS summary
+  FROM {s}_j)"""
+
+
+WORD = quoted(T.portable(T.WORD_PATTERN))
+NON_SPACE = quoted(T.portable(T.NON_SPACE_PATTERN))
+SENTENCE = quoted(T.portable(T.SENTENCE_PATTERN))
+
+LONG_SUMMARIES = (
+    *IDF,
+    overlap_cte(500, 50),
+    "short AS (SELECT doc_id, text FROM documents WHERE len(" + SPACED + ") <= 500)",
+    "long AS (SELECT doc_id, chunk_idx, chunk AS text FROM chunks WHERE split)",
+    summary_ctes("short", "direct", "doc_id", 80, 200),
+    summary_ctes("long", "parts", "doc_id, chunk_idx", 50, 150),
+    """combined AS (SELECT doc_id, string_agg(summary, ' ' ORDER BY chunk_idx) AS text
+  FROM parts GROUP BY doc_id),
+lengthy AS (SELECT * FROM combined WHERE length(text) > 2000)""",
+    summary_ctes("lengthy", "again", "doc_id", 80, 200),
+    """summaries AS (SELECT * FROM direct UNION ALL SELECT * FROM again
+  UNION ALL SELECT doc_id, text FROM combined WHERE length(text) <= 2000)""",
+)
+
+SQL |= {
+    "summarize": with_(
+        *IDF, summary_ctes("documents", "summaries", "doc_id", 80, 200), select="SELECT * FROM summaries"
+    ),
+    "summarize_long": with_(*LONG_SUMMARIES, select="SELECT * FROM summaries"),
+    "summary_or_extract": with_(
+        *LONG_SUMMARIES,
+        f"extracts AS ({SQL['midpoint_extract']})",
+        select="""SELECT e.doc_id, coalesce(s.summary, e.extract) AS summary
+FROM extracts e LEFT JOIN summaries s ON s.doc_id = e.doc_id""",
+    ),
+    "extract_all": r"""
+WITH p AS (SELECT doc_id, text, string_split(text, chr(10) || chr(10)) AS p FROM documents),
+b AS (SELECT *, greatest(1, floor(len(p) * 0.2::DOUBLE))::BIGINT AS s,
+             floor(len(p) * 0.8::DOUBLE)::BIGINT AS e FROM p)
+SELECT doc_id, CASE WHEN e > s
+         THEN substring(array_to_string(p[s + 1:e], chr(10) || chr(10)), 1, 1500)
+         ELSE substring(text, 1, 1000) END AS summary FROM b""",
+}
+
 
 def all_sql() -> dict[str, str]:
     return dict(SQL)

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textloom.functions import text as T
-from textloom.operators import terms
-from textloom.queries.settings import SCORE_DIGITS, STOP_WORDS
+from textloom.operators import chunks, cluster, summary, terms, vectors
+from textloom.queries.settings import PAIR_THRESHOLD, SCORE_DIGITS, STOP_WORDS, WIDE_IDS
 from textloom.sources.corpus import normalize_lines
 from textloom.sources.tables import read_table
 
@@ -211,3 +211,178 @@ def corpus_stats(spark, sf_dir):
         terms.overall_frequency(terms.bag_counts(bags)),
         bigram_counts_of(spark, sf_dir),
     )
+
+
+# --- chunks -------------------------------------------------------------------
+
+
+@query
+def word_chunks(spark, sf_dir):
+    df = chunks.word_chunks(corpus(spark, sf_dir))
+    return df.withColumn("chunk_idx", F.col("chunk_idx").cast("long"))
+
+
+@query
+def overlap_chunks(spark, sf_dir):
+    df = chunks.overlap_chunks(corpus(spark, sf_dir), max_tokens=500, overlap=50)
+    return df.withColumn("chunk_idx", F.col("chunk_idx").cast("long"))
+
+
+@query
+def chunk_stats(spark, sf_dir):
+    return rounded(chunks.chunk_stats(chunks.word_chunks(corpus(spark, sf_dir))), 6)
+
+
+# --- vectors ------------------------------------------------------------------
+
+
+def vectors_of(spark, sf_dir):
+    vecs = read_table(spark, f"{sf_dir}/embeddings.parquet", "vec_id", "embedding", "label")
+    return vecs.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"), "label")
+
+
+def labelled(spark, sf_dir):
+    return vectors_of(spark, sf_dir).withColumnRenamed("label", "cluster")
+
+
+@query
+def vectors_wide(spark, sf_dir):
+    wide = vectors.vectors_wide(vectors_of(spark, sf_dir), 64)
+    return wide.select("doc_id", *[F.round(F.col(c).cast("double"), 6).alias(c) for c in wide.columns[1:]])
+
+
+@query
+def embed_hashed(spark, sf_dir):
+    vecs = vectors.embed_hashed(terms.bag_tf_idf(word_bags(spark, sf_dir)), dim=64)
+    values = vecs.select("doc_id", F.posexplode("vec").alias("dim", "value"))
+    values = values.select("doc_id", F.col("dim").cast("long").alias("dim"), F.round("value", 6).alias("value"))
+    return values.where("value <> 0")
+
+
+@query
+def cosine_pairs(spark, sf_dir):
+    return vectors.cosine_pairs(vectors_of(spark, sf_dir), PAIR_THRESHOLD)
+
+
+@query
+def top_similar(spark, sf_dir):
+    near = vectors.top_similar(vectors_of(spark, sf_dir), 5)
+    return near.withColumn("rank", F.col("rank").cast("long"))
+
+
+@query
+def most_similar(spark, sf_dir):
+    return vectors.most_similar(vectors.top_similar(vectors_of(spark, sf_dir), 1))
+
+
+@query
+def similarity_stats(spark, sf_dir):
+    stats = vectors.similarity_stats(vectors_of(spark, sf_dir))
+    return stats.withColumn("dimensions", F.col("dimensions").cast("long"))
+
+
+@query
+def similarity_long(spark, sf_dir):
+    return vectors.similarity_long(vectors_of(spark, sf_dir), PAIR_THRESHOLD)
+
+
+@query
+def similarity_wide(spark, sf_dir):
+    return vectors.similarity_wide(vectors_of(spark, sf_dir), WIDE_IDS)
+
+
+# --- clusters -----------------------------------------------------------------
+
+
+def quality_clusters(spark, sf_dir):
+    labels = read_table(spark, f"{sf_dir}/labels.parquet", "doc_id", "quality")
+    return labels.withColumnRenamed("quality", "cluster")
+
+
+@query
+def kmeans_from(spark, sf_dir):
+    return cluster.kmeans_from(labelled(spark, sf_dir), 2)
+
+
+@query
+def elbow_one(spark, sf_dir):
+    return rounded(cluster.within_ss(vectors_of(spark, sf_dir).withColumn("cluster", F.lit(0))), 6)
+
+
+@query
+def within_ss(spark, sf_dir):
+    return rounded(cluster.within_ss(labelled(spark, sf_dir)), 6)
+
+
+@query
+def silhouette(spark, sf_dir):
+    return cluster.silhouette(labelled(spark, sf_dir))
+
+
+@query
+def silhouette_sq(spark, sf_dir):
+    score = cluster.silhouette_sq(labelled(spark, sf_dir).persist())
+    return spark.createDataFrame([(round(score, 6),)], "silhouette double")
+
+
+@query
+def cluster_sizes(spark, sf_dir):
+    return cluster.cluster_sizes(quality_clusters(spark, sf_dir))
+
+
+@query
+def cluster_members(spark, sf_dir):
+    return cluster.cluster_members(quality_clusters(spark, sf_dir))
+
+
+@query
+def cluster_reps(spark, sf_dir):
+    return cluster.cluster_reps(quality_clusters(spark, sf_dir))
+
+
+def keywords_of(spark, sf_dir, n):
+    bags = word_bags(spark, sf_dir)
+    return cluster.cluster_keywords(bags, quality_clusters(spark, sf_dir), terms.bag_idf(bags), n)
+
+
+@query
+def cluster_keywords(spark, sf_dir):
+    return keywords_of(spark, sf_dir, 15)
+
+
+@query
+def cluster_cloud(spark, sf_dir):
+    return cluster.cluster_cloud(keywords_of(spark, sf_dir, 15))
+
+
+# --- summaries ----------------------------------------------------------------
+
+
+def corpus_idf(spark, sf_dir):
+    return terms.bag_idf(word_bags(spark, sf_dir))
+
+
+@query
+def summarize(spark, sf_dir):
+    return summary.summarize(corpus(spark, sf_dir), corpus_idf(spark, sf_dir))
+
+
+def long_summaries(spark, sf_dir):
+    return summary.summarize_long(
+        corpus(spark, sf_dir), corpus_idf(spark, sf_dir), max_tokens=500, overlap=50
+    )
+
+
+@query
+def summarize_long(spark, sf_dir):
+    return long_summaries(spark, sf_dir)
+
+
+@query
+def summary_or_extract(spark, sf_dir):
+    return summary.summary_or_extract(corpus(spark, sf_dir), long_summaries(spark, sf_dir))
+
+
+@query
+def extract_all(spark, sf_dir):
+    return summary.summary_or_extract(corpus(spark, sf_dir), None)
