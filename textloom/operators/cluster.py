@@ -292,46 +292,76 @@ def ward_linkage(vecs: DataFrame, sizes: str | None = None) -> DataFrame:
     Every round merges all pairs of clusters that are each other's nearest. Ward's
     distance is reducible, so these are the merges the one-at-a-time algorithm makes,
     in a few dozen rounds instead of ``n - 1``. Nearest clusters are found in blocks of
-    bounded size. Exact for any number of vectors, at a cost that grows with its
+    bounded size, and identical vectors are merged beforehand. Exact for any number of vectors, at a cost that grows with its
     square: for a large corpus pass the centres of ``micro_clusters`` with ``sizes``
     naming the column that says how many documents each stands for.
     """
-    weight = F.lit(1) if sizes is None else F.col(sizes)
-    active = checkpoint(
-        vecs.select(
-            F.col("doc_id").alias("id"), F.col("vec").cast("array<double>"), weight.cast("long").alias("size")
-        )
+    points = vecs.select(
+        F.col("doc_id").alias("id"),
+        F.col("vec").cast("array<double>").alias("vec"),
+        (F.lit(1) if sizes is None else F.col(sizes)).cast("long").alias("size"),
+    )
+    id_type = points.schema["id"].dataType.simpleString()
+    merges = vecs.sparkSession.createDataFrame(
+        [], f"left {id_type}, right {id_type}, height double, size bigint, turn int"
     )
-    id_type = active.schema["id"].dataType.simpleString()
-    spark = vecs.sparkSession
-    tree = spark.createDataFrame([], f"left {id_type}, right {id_type}, height double, size bigint, round int")
-    left_over, turn = active.count(), 0
-    while left_over > 1:
+    if sizes is None:
+        distinct = points.groupBy("vec").agg(F.min("id").alias("left"), F.count("*").alias("size"))
+        active = checkpoint(distinct.select(F.col("left").alias("id"), "vec", "size"))
+        merges = merges.unionByName(_merge_copies(points, active))
+    else:
+        active = checkpoint(points)
+    turn = 0
+    while (remaining := active.count()) > 1:
         turn += 1
-        best = _nearest_clusters(active, left_over, id_type)
-        # Both sides of a mutual pair name it, so it is counted twice.
-        mutual = best.groupBy("left", "right").agg(F.count("*").alias("c"), F.max("height").alias("height"))
-        mutual = mutual.where(F.col("c") == 2).drop("c")
-        as_left = active.select(F.col("id").alias("left"), F.col("vec").alias("lv"), F.col("size").alias("ls"))
-        as_right = active.select(F.col("id").alias("right"), F.col("vec").alias("rv"), F.col("size").alias("rs"))
-        merged = mutual.join(as_left, "left").join(as_right, "right")
-        size = F.col("ls") + F.col("rs")
-        centre = F.zip_with("lv", "rv", lambda x, y: (x * F.col("ls") + y * F.col("rs")) / size)
-        merged = checkpoint(merged.select("left", "right", "height", size.alias("size"), centre.alias("vec")))
-        gone = merged.select(F.explode(F.array("left", "right")).alias("id"))
-        kept = active.join(gone, "id", "left_anti")
-        made = merged.select(F.col("left").alias("id"), "vec", "size")
-        active = checkpoint(kept.unionByName(made))
-        tree = tree.unionByName(
-            merged.select("left", "right", "height", "size", F.lit(turn).alias("round"))
+        after = checkpoint(_merge_mutual(active, _nearest_clusters(active, remaining, id_type)))
+        merged = after.where(F.col("right").isNotNull())
+        merges = merges.unionByName(
+            merged.select(F.col("id").alias("left"), "right", "height", "size", F.lit(turn).alias("turn"))
         )
-        left_over = active.count()
-    ordered = tree.orderBy("height", "round", "left", "right").drop("round")
+        active = after.select("id", "vec", "size")
+    ordered = merges.orderBy("height", "turn", "left", "right").drop("turn")
     return numbered(ordered, "step").select(F.col("step").cast("int"), "left", "right", "height", "size")
 
 
+def _merge_copies(points: DataFrame, distinct: DataFrame) -> DataFrame:
+    """Merges of identical vectors, at height 0: each copy joins the first document."""
+    first = distinct.select("vec", F.col("id").alias("left"))
+    copies = points.join(first, "vec").where(F.col("id") != F.col("left"))
+    ranked = numbered(copies.select("left", F.col("id").alias("right")).orderBy("left", "right"), "at")
+    start = ranked.groupBy("left").agg(F.min("at").alias("start"))
+    return ranked.join(start, "left").select(
+        "left",
+        "right",
+        F.lit(0.0).alias("height"),
+        (F.col("at") - F.col("start") + 2).alias("size"),
+        F.lit(0).alias("turn"),
+    )
+
+
+def _merge_mutual(active: DataFrame, nearest: DataFrame) -> DataFrame:
+    """Clusters after a round; ``right`` and ``height`` are set where two were merged.
+
+    A pair is named by its two clusters at most, so a group has one or two members: two
+    when they chose each other, one that stays as it is otherwise.
+    """
+    member = F.struct("id", "size", "vec")
+    pairs = active.join(nearest, "id").groupBy("left", "right", "height")
+    pairs = pairs.agg(F.sort_array(F.collect_list(member)).alias("m"))
+    a, b, mutual = F.get("m", F.lit(0)), F.get("m", F.lit(1)), F.size("m") == 2
+    size = a["size"] + b["size"]
+    centre = F.zip_with(a["vec"], b["vec"], lambda x, y: (x * a["size"] + y * b["size"]) / size)
+    return pairs.select(
+        a["id"].alias("id"),
+        F.when(mutual, centre).otherwise(a["vec"]).alias("vec"),
+        F.when(mutual, size).otherwise(a["size"]).alias("size"),
+        F.when(mutual, F.col("right")).alias("right"),
+        F.when(mutual, F.col("height")).alias("height"),
+    )
+
+
 def _nearest_clusters(active: DataFrame, rows: int, id_type: str) -> DataFrame:
-    """Each cluster's nearest as ``(left, right, height)``, ties by the pair's ids."""
+    """Each cluster's nearest as ``(id, left, right, height)``, ties by the pair's ids."""
     blocks = math.ceil(rows / BLOCK_ROWS)
     cores = active.sparkSession.sparkContext.defaultParallelism
     blocks = max(blocks, min(math.isqrt(cores), rows // 512), 1)
@@ -345,15 +375,24 @@ def _nearest_clusters(active: DataFrame, rows: int, id_type: str) -> DataFrame:
             q, t = _stack(a["vec"]), _stack(b["t_vec"])
             n, m = a["size"].to_numpy(float), b["t_size"].to_numpy(float)
             for part in _row_steps(len(q), len(t)):
-                squared = (q[part] ** 2).sum(1)[:, None] + (t**2).sum(1)[None, :] - 2.0 * q[part] @ t.T
-                ward = 2.0 * n[part][:, None] * m[None, :] / (n[part][:, None] + m[None, :]) * squared
-                ward = np.round(np.sqrt(np.maximum(ward, 0.0)), 9)
+                norms = (q[part] ** 2).sum(1)[:, None] + (t**2).sum(1)[None, :]
+                factor = 2.0 * n[part][:, None] * m[None, :] / (n[part][:, None] + m[None, :])
+                ward = factor * (norms - 2.0 * q[part] @ t.T)
                 ward[ids[part][:, None] == others[None, :]] = np.inf
-                # Targets are sorted, so the first minimum is the smallest id.
-                near = ward.argmin(axis=1)
-                height = ward[np.arange(len(near)), near]
-                real = np.isfinite(height)
-                mine, other, height = ids[part][real], others[near][real], height[real]
+                # The product is off by rounding, and not alike from both sides. What
+                # may be nearest is computed again from differences, which are.
+                error = factor * norms * 1e-11
+                row, col = np.nonzero(ward - error <= (ward + error).min(axis=1)[:, None])
+                real = np.isfinite(ward[row, col])
+                row, col = row[real], col[real]
+                apart = np.empty(len(row))
+                for some in _row_steps(len(row), q.shape[1]):
+                    apart[some] = ((q[part][row[some]] - t[col[some]]) ** 2).sum(axis=1)
+                height = np.sqrt(factor[row, col] * apart)
+                # Targets are sorted, so of equal heights the smallest id comes first.
+                order = np.lexsort((col, height, row))
+                order = order[np.unique(row[order], return_index=True)[1]]
+                mine, other, height = ids[part][row[order]], others[col[order]], height[order]
                 swap = other < mine
                 found.append(
                     pd.DataFrame(
@@ -376,7 +415,7 @@ def _nearest_clusters(active: DataFrame, rows: int, id_type: str) -> DataFrame:
     scored = a.groupBy("p", "q").cogroup(b.groupBy("p", "q")).applyInPandas(score, schema)
     # One order on pairs for all clusters: the lowest pair is then always mutual.
     first = scored.groupBy("id").agg(F.min(F.struct("height", "left", "right")).alias("pair"))
-    return first.select("pair.left", "pair.right", "pair.height")
+    return first.select("id", "pair.left", "pair.right", "pair.height")
 
 
 def micro_clusters(vecs: DataFrame, k: int, seed: int = 42) -> tuple[DataFrame, DataFrame]:

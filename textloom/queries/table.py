@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textloom.functions import text as T
-from textloom.operators import chunks, cluster, summary, terms, vectors
+from textloom.operators import chunks, cluster, learned, summary, terms, vectors
 from textloom.queries.settings import PAIR_THRESHOLD, SCORE_DIGITS, STOP_WORDS, WIDE_IDS
 from textloom.sources.corpus import normalize_lines
 from textloom.sources.tables import read_table
@@ -386,3 +386,53 @@ def summary_or_extract(spark, sf_dir):
 @query
 def extract_all(spark, sf_dir):
     return summary.summary_or_extract(corpus(spark, sf_dir), None)
+
+
+# --- learned vectors, k-means and Ward: no SQL states them ----------------------
+
+
+@query
+def doc_vectors_w2v(spark, sf_dir):
+    docs = corpus(spark, sf_dir)
+    cores = spark.sparkContext.defaultParallelism
+    trained = learned.train_word_vectors(
+        chunks.word_chunks(docs), dim=32, iterations=2, window=5, partitions=cores
+    )
+    vecs = learned.doc_vectors_w2v(docs, trained)
+    return vecs.select("doc_id", F.posexplode("vec").alias("dim", "value"))
+
+
+@query
+def layout_2d(spark, sf_dir):
+    return rounded(learned.layout_2d(vectors_of(spark, sf_dir)), 6)
+
+
+@query
+def kmeans(spark, sf_dir):
+    vecs = vectors_of(spark, sf_dir).persist()
+    return cluster.membership(cluster.kmeans(vecs, 4, n_init=2), vecs)
+
+
+@query
+def elbow(spark, sf_dir):
+    return cluster.elbow(vectors_of(spark, sf_dir), n_init=1)
+
+
+@query
+def choose_k(spark, sf_dir):
+    return cluster.choose_k(vectors_of(spark, sf_dir), n_init=1)
+
+
+@query
+def ward_linkage(spark, sf_dir):
+    return cluster.ward_linkage(vectors_of(spark, sf_dir))
+
+
+@query
+def ward_cut(spark, sf_dir):
+    return cluster.cut_k(cluster.ward_linkage(vectors_of(spark, sf_dir)).persist(), 4)
+
+
+@query
+def cut_candidates(spark, sf_dir):
+    return cluster.cut_candidates(cluster.ward_linkage(vectors_of(spark, sf_dir)).persist())

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -50,24 +51,33 @@ def write_bundle(
     return paths
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write a table to the checkpoint folder and cut its lineage.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, set from ``spark.checkpoint.dir`` when it has none.
 
-    The folder is the one the session has, else ``spark.checkpoint.dir``. A temporary
-    folder is made up only for a local session; a cluster must name a shared one.
+    A temporary folder is made up only for a local session; a cluster must name a
+    shared one.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get(
-            "spark.checkpoint.dir", ""
-        )
+        folder = spark.conf.get("spark.checkpoint.dir", "")
         if not folder:
             if not context.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="textloom-checkpoint-")
         context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    return context.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Write a table to the checkpoint folder and read it back, which cuts its lineage.
+
+    Used between the rounds of iterative operators. A plain table also drops what the
+    optimizer has inferred about the rows so far; carried through many rounds, that
+    makes planning slower with every round.
+    """
+    path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def numbered(ordered: DataFrame, name: str) -> DataFrame:
@@ -77,7 +87,8 @@ def numbered(ordered: DataFrame, name: str) -> DataFrame:
     its place in its partition plus the sizes of the partitions before it. Only those
     sizes, one number per partition, pass through the driver.
     """
-    fixed = checkpoint(ordered).withColumn("_at", F.monotonically_increasing_id())
+    checkpoint_folder(ordered.sparkSession)
+    fixed = ordered.checkpoint().withColumn("_at", F.monotonically_increasing_id())
     part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = fixed.groupBy(part.alias("part")).count().orderBy("part").collect()
     offsets, total = {}, 0
