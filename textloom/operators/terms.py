@@ -80,7 +80,7 @@ def remove_stop_words(tokens: DataFrame, stops: DataFrame, column: str = "word")
     listed = stops.select(F.col("word").alias(column)).where(F.col(column).isNotNull()).distinct()
     if _short_list(stops) is not None:
         listed = F.broadcast(listed)
-    return tokens.join(listed, column, "left_anti")
+    return tokens.join(listed, column, "left_anti").select(*tokens.columns)
 
 
 # --- tokens -------------------------------------------------------------------
@@ -195,7 +195,7 @@ def idf_table(counts: DataFrame, term: str = "word", n_docs: Column | None = Non
 
 def bag_idf(bags: DataFrame, term: str = "word") -> DataFrame:
     """``idf_table`` from bags: the number of documents costs no distinct count."""
-    n_docs = bags.where(F.size("terms") > 0).agg(F.count("*")).scalar()
+    n_docs = bags.agg(F.count(F.when(F.size("terms") > 0, 1))).scalar()
     return idf_table(bag_counts(bags), term, n_docs)
 
 

@@ -1,0 +1 @@
+"""End-to-end flows from a corpus to result tables."""

@@ -35,12 +35,13 @@ def stops(spark):
     return terms.stop_words(spark, None, STOP_WORDS)
 
 
+# Bags and idf are read more than once by what is built on them.
 def word_bags(spark, sf_dir):
-    return terms.term_bags(corpus(spark, sf_dir), stops(spark))
+    return terms.term_bags(corpus(spark, sf_dir), stops(spark)).persist()
 
 
 def bigram_bags(spark, sf_dir):
-    return terms.term_bags(corpus(spark, sf_dir), stops(spark), bigrams=True)
+    return terms.term_bags(corpus(spark, sf_dir), stops(spark), bigrams=True).persist()
 
 
 def word_counts(spark, sf_dir):
@@ -359,7 +360,7 @@ def cluster_cloud(spark, sf_dir):
 
 
 def corpus_idf(spark, sf_dir):
-    return terms.bag_idf(word_bags(spark, sf_dir))
+    return terms.bag_idf(word_bags(spark, sf_dir)).persist()
 
 
 @query
