@@ -5,7 +5,7 @@ from textloom.session import local_session
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session(memory="8g", name="tests")
+    return local_session(cores=4, memory="8g", name="tests")
 
 
 @pytest.fixture(scope="session")

@@ -314,7 +314,7 @@ def ward_linkage(vecs: DataFrame, sizes: str | None = None) -> DataFrame:
     turn = 0
     while (remaining := active.count()) > 1:
         turn += 1
-        after = checkpoint(_merge_mutual(active, _nearest_clusters(active, remaining, id_type)))
+        after = checkpoint(_merge_mutual(_nearest_clusters(active, remaining, id_type)))
         merged = after.where(F.col("right").isNotNull())
         merges = merges.unionByName(
             merged.select(F.col("id").alias("left"), "right", "height", "size", F.lit(turn).alias("turn"))
@@ -339,14 +339,14 @@ def _merge_copies(points: DataFrame, distinct: DataFrame) -> DataFrame:
     )
 
 
-def _merge_mutual(active: DataFrame, nearest: DataFrame) -> DataFrame:
+def _merge_mutual(nearest: DataFrame) -> DataFrame:
     """Clusters after a round; ``right`` and ``height`` are set where two were merged.
 
     A pair is named by its two clusters at most, so a group has one or two members: two
     when they chose each other, one that stays as it is otherwise.
     """
     member = F.struct("id", "size", "vec")
-    pairs = active.join(nearest, "id").groupBy("left", "right", "height")
+    pairs = nearest.groupBy("left", "right", "height")
     pairs = pairs.agg(F.sort_array(F.collect_list(member)).alias("m"))
     a, b, mutual = F.get("m", F.lit(0)), F.get("m", F.lit(1)), F.size("m") == 2
     size = a["size"] + b["size"]
@@ -361,14 +361,17 @@ def _merge_mutual(active: DataFrame, nearest: DataFrame) -> DataFrame:
 
 
 def _nearest_clusters(active: DataFrame, rows: int, id_type: str) -> DataFrame:
-    """Each cluster's nearest as ``(id, left, right, height)``, ties by the pair's ids."""
+    """Each cluster with its nearest, ``(id, size, vec, left, right, height)``.
+
+    Ties go by the ids of the pair.
+    """
     blocks = math.ceil(rows / BLOCK_ROWS)
     cores = active.sparkSession.sparkContext.defaultParallelism
     blocks = max(blocks, min(math.isqrt(cores), rows // 512), 1)
-    schema = f"id {id_type}, left {id_type}, right {id_type}, height double"
+    schema = f"id {id_type}, size bigint, vec array<double>, left {id_type}, right {id_type}, height double"
 
     def score(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        found = [pd.DataFrame({"id": [], "left": [], "right": [], "height": []})]
+        found = [pd.DataFrame({c: [] for c in ("id", "size", "vec", "left", "right", "height")})]
         if len(a) and len(b):
             b = b.sort_values("t_id", kind="stable")
             ids, others = a["id"].to_numpy(), b["t_id"].to_numpy()
@@ -392,12 +395,15 @@ def _nearest_clusters(active: DataFrame, rows: int, id_type: str) -> DataFrame:
                 # Targets are sorted, so of equal heights the smallest id comes first.
                 order = np.lexsort((col, height, row))
                 order = order[np.unique(row[order], return_index=True)[1]]
+                own = a.iloc[part].iloc[row[order]]
                 mine, other, height = ids[part][row[order]], others[col[order]], height[order]
                 swap = other < mine
                 found.append(
                     pd.DataFrame(
                         {
                             "id": mine,
+                            "size": own["size"].to_numpy(),
+                            "vec": own["vec"].to_numpy(),
                             "left": np.where(swap, other, mine),
                             "right": np.where(swap, mine, other),
                             "height": height,
@@ -414,8 +420,9 @@ def _nearest_clusters(active: DataFrame, rows: int, id_type: str) -> DataFrame:
     ).withColumn("p", every)
     scored = a.groupBy("p", "q").cogroup(b.groupBy("p", "q")).applyInPandas(score, schema)
     # One order on pairs for all clusters: the lowest pair is then always mutual.
-    first = scored.groupBy("id").agg(F.min(F.struct("height", "left", "right")).alias("pair"))
-    return first.select("id", "pair.left", "pair.right", "pair.height")
+    best = F.min(F.struct("height", "left", "right", "size", "vec"))
+    first = scored.groupBy("id").agg(best.alias("pair"))
+    return first.select("id", "pair.size", "pair.vec", "pair.left", "pair.right", "pair.height")
 
 
 def micro_clusters(vecs: DataFrame, k: int, seed: int = 42) -> tuple[DataFrame, DataFrame]:

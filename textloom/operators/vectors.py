@@ -388,13 +388,17 @@ def similarity_wide(vecs: DataFrame, ids: Sequence) -> DataFrame:
         raise ValueError(f"no vector for {missing}")
     matrix = np.array([listed[i] for i in ids], dtype=float)
 
-    @F.pandas_udf("array<double>")
-    def against(batch: pd.Series) -> pd.Series:
-        return pd.Series(list(_stack(batch) @ matrix.T))
+    names = [f"sim_{i}" for i in ids]
+
+    def against(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                sims = np.round(_stack(batch["vec"]) @ matrix.T, DIGITS)
+                yield pd.concat([batch[["doc_id"]], pd.DataFrame(sims, columns=names, index=batch.index)], axis=1)
 
-    scored = units.select("doc_id", against("vec").alias("sims"))
-    columns = [F.round(F.get("sims", F.lit(j)), DIGITS).alias(f"sim_{i}") for j, i in enumerate(ids)]
-    return scored.select("doc_id", *columns)
+    id_type = units.schema["doc_id"].dataType.simpleString()
+    columns = ", ".join(f"`{name}` double" for name in names)
+    return units.mapInPandas(against, f"doc_id {id_type}, {columns}")
 
 
 def mean_similarity(vecs: DataFrame) -> Column:
