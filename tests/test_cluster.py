@@ -54,7 +54,9 @@ def same_partition(found, expected):
     return sorted(map(sorted, groups.values())) == sorted(map(sorted, expected))
 
 
-def test_ward_equals_one_merge_at_a_time(spark):
+@pytest.mark.parametrize("finish", [256, 8])
+def test_ward_equals_one_merge_at_a_time(spark, monkeypatch, finish):
+    monkeypatch.setattr(cluster, "FINISH_ROWS", finish)
     points = np.random.default_rng(1).normal(size=(30, 3))
     tree = [r.asDict() for r in cluster.ward_linkage(frame(spark, points)).orderBy("step").collect()]
     merges = greedy_ward(points)
@@ -67,7 +69,8 @@ def test_ward_equals_one_merge_at_a_time(spark):
         assert members[row["left"]] == set(expected)
 
 
-def test_ward_with_ties_and_text_keys(spark):
+def test_ward_with_ties_and_text_keys(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "FINISH_ROWS", 2)
     points = [[0, 0], [0, 1], [0, 2], [0, 3], [10, 0], [10, 0], [10, 0]]
     ids = [f"d{i}.txt" for i in range(7)]
     tree = cluster.ward_linkage(frame(spark, points, ids)).orderBy("step").collect()

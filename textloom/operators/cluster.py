@@ -21,6 +21,7 @@ from textloom.operators.vectors import BLOCK_ROWS, DIGITS, _row_steps, _stack
 from textloom.sources.tables import checkpoint, numbered
 
 MAX_K = 10
+FINISH_ROWS = 256
 
 
 # --- k-means --------------------------------------------------------------------
@@ -292,7 +293,8 @@ def ward_linkage(vecs: DataFrame, sizes: str | None = None) -> DataFrame:
     Every round merges all pairs of clusters that are each other's nearest. Ward's
     distance is reducible, so these are the merges the one-at-a-time algorithm makes,
     in a few dozen rounds instead of ``n - 1``. Nearest clusters are found in blocks of
-    bounded size, and identical vectors are merged beforehand. Exact for any number of vectors, at a cost that grows with its
+    bounded size, and identical vectors are merged beforehand; the last ``FINISH_ROWS``
+    clusters go through their rounds in one task, as a job each would be all overhead. Exact for any number of vectors, at a cost that grows with its
     square: for a large corpus pass the centres of ``micro_clusters`` with ``sizes``
     naming the column that says how many documents each stands for.
     """
@@ -312,7 +314,7 @@ def ward_linkage(vecs: DataFrame, sizes: str | None = None) -> DataFrame:
     else:
         active = checkpoint(points)
     turn = 0
-    while (remaining := active.count()) > 1:
+    while (remaining := active.count()) > FINISH_ROWS:
         turn += 1
         after = checkpoint(_merge_mutual(_nearest_clusters(active, remaining, id_type)))
         merged = after.where(F.col("right").isNotNull())
@@ -320,6 +322,7 @@ def ward_linkage(vecs: DataFrame, sizes: str | None = None) -> DataFrame:
             merged.select(F.col("id").alias("left"), "right", "height", "size", F.lit(turn).alias("turn"))
         )
         active = after.select("id", "vec", "size")
+    merges = checkpoint(merges.unionByName(_merge_rest(active, turn, merges.schema)))
     ordered = merges.orderBy("height", "turn", "left", "right").drop("turn")
     return numbered(ordered, "step").select(F.col("step").cast("int"), "left", "right", "height", "size")
 
@@ -371,46 +374,7 @@ def _nearest_clusters(active: DataFrame, rows: int, id_type: str) -> DataFrame:
     schema = f"id {id_type}, size bigint, vec array<double>, left {id_type}, right {id_type}, height double"
 
     def score(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        found = [pd.DataFrame({c: [] for c in ("id", "size", "vec", "left", "right", "height")})]
-        if len(a) and len(b):
-            b = b.sort_values("t_id", kind="stable")
-            ids, others = a["id"].to_numpy(), b["t_id"].to_numpy()
-            q, t = _stack(a["vec"]), _stack(b["t_vec"])
-            n, m = a["size"].to_numpy(float), b["t_size"].to_numpy(float)
-            for part in _row_steps(len(q), len(t)):
-                norms = (q[part] ** 2).sum(1)[:, None] + (t**2).sum(1)[None, :]
-                factor = 2.0 * n[part][:, None] * m[None, :] / (n[part][:, None] + m[None, :])
-                ward = factor * (norms - 2.0 * q[part] @ t.T)
-                ward[ids[part][:, None] == others[None, :]] = np.inf
-                # The product is off by rounding, and not alike from both sides. What
-                # may be nearest is computed again from differences, which are.
-                error = factor * norms * 1e-11
-                row, col = np.nonzero(ward - error <= (ward + error).min(axis=1)[:, None])
-                real = np.isfinite(ward[row, col])
-                row, col = row[real], col[real]
-                apart = np.empty(len(row))
-                for some in _row_steps(len(row), q.shape[1]):
-                    apart[some] = ((q[part][row[some]] - t[col[some]]) ** 2).sum(axis=1)
-                height = np.sqrt(factor[row, col] * apart)
-                # Targets are sorted, so of equal heights the smallest id comes first.
-                order = np.lexsort((col, height, row))
-                order = order[np.unique(row[order], return_index=True)[1]]
-                own = a.iloc[part].iloc[row[order]]
-                mine, other, height = ids[part][row[order]], others[col[order]], height[order]
-                swap = other < mine
-                found.append(
-                    pd.DataFrame(
-                        {
-                            "id": mine,
-                            "size": own["size"].to_numpy(),
-                            "vec": own["vec"].to_numpy(),
-                            "left": np.where(swap, other, mine),
-                            "right": np.where(swap, mine, other),
-                            "height": height,
-                        }
-                    )
-                )
-        return pd.concat(found[1:] or found)
+        return _nearest_in_block(a, b.rename(columns={"t_id": "id", "t_vec": "vec", "t_size": "size"}))
 
     block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
@@ -425,6 +389,76 @@ def _nearest_clusters(active: DataFrame, rows: int, id_type: str) -> DataFrame:
     return first.select("id", "pair.size", "pair.vec", "pair.left", "pair.right", "pair.height")
 
 
+def _nearest_in_block(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    """For each cluster of ``a`` its nearest in ``b``; both are ``(id, size, vec)``."""
+    found = [pd.DataFrame({c: [] for c in ("id", "size", "vec", "left", "right", "height")})]
+    if not len(a) or not len(b):
+        return found[0]
+    b = b.sort_values("id", kind="stable")
+    ids, others = a["id"].to_numpy(), b["id"].to_numpy()
+    q, t = _stack(a["vec"]), _stack(b["vec"])
+    n, m = a["size"].to_numpy(float), b["size"].to_numpy(float)
+    for part in _row_steps(len(q), len(t)):
+        norms = (q[part] ** 2).sum(1)[:, None] + (t**2).sum(1)[None, :]
+        factor = 2.0 * n[part][:, None] * m[None, :] / (n[part][:, None] + m[None, :])
+        ward = factor * (norms - 2.0 * q[part] @ t.T)
+        ward[ids[part][:, None] == others[None, :]] = np.inf
+        # The product is off by rounding, and not alike from both sides. What may be
+        # nearest is computed again from differences, which are alike.
+        error = factor * norms * 1e-11
+        row, col = np.nonzero(ward - error <= (ward + error).min(axis=1)[:, None])
+        real = np.isfinite(ward[row, col])
+        row, col = row[real], col[real]
+        apart = np.empty(len(row))
+        for some in _row_steps(len(row), q.shape[1]):
+            apart[some] = ((q[part][row[some]] - t[col[some]]) ** 2).sum(axis=1)
+        height = np.sqrt(factor[row, col] * apart)
+        # Targets are sorted, so of equal heights the smallest id comes first.
+        order = np.lexsort((col, height, row))
+        order = order[np.unique(row[order], return_index=True)[1]]
+        own = a.iloc[part].iloc[row[order]]
+        mine, other = ids[part][row[order]], others[col[order]]
+        swap = other < mine
+        found.append(
+            pd.DataFrame(
+                {
+                    "id": mine,
+                    "size": own["size"].to_numpy(),
+                    "vec": own["vec"].to_numpy(),
+                    "left": np.where(swap, other, mine),
+                    "right": np.where(swap, mine, other),
+                    "height": height[order],
+                }
+            )
+        )
+    return pd.concat(found[1:])
+
+
+def _merge_rest(active: DataFrame, turn: int, schema) -> DataFrame:
+    """The same rounds for the last few clusters, in one task."""
+
+    def rounds(rest: pd.DataFrame) -> pd.DataFrame:
+        merged, now = [], turn
+        clusters = {r.id: (np.asarray(r.vec), r.size) for r in rest[["id", "vec", "size"]].itertuples(index=False, name="Row")}
+        while len(clusters) > 1:
+            now += 1
+            table = pd.DataFrame(
+                {
+                    "id": list(clusters),
+                    "size": [size for _, size in clusters.values()],
+                    "vec": [vec for vec, _ in clusters.values()],
+                }
+            )
+            near = _nearest_in_block(table, table)
+            for pair in near[near.duplicated(["left", "right"])].itertuples(index=False):
+                (x, n), (y, m) = clusters[pair.left], clusters.pop(pair.right)
+                clusters[pair.left] = ((x * n + y * m) / (n + m), n + m)
+                merged.append((pair.left, pair.right, pair.height, n + m, now))
+        return pd.DataFrame(merged, columns=["left", "right", "height", "size", "turn"])
+
+    return active.withColumn("group", F.lit(0)).groupBy("group").applyInPandas(rounds, schema)
+
+
 def micro_clusters(vecs: DataFrame, k: int, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Centres of k small clusters for ``ward_linkage``, and who belongs to them.
 

@@ -402,6 +402,8 @@ SELECT doc_id, CASE WHEN e > s
          ELSE substring(text, 1, 1000) END AS summary FROM b""",
 }
 
+SQL["term_report_documents"] = SQL["doc_stats"]
+
 
 def all_sql() -> dict[str, str]:
     return dict(SQL)

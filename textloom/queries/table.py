@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textloom.functions import text as T
 from textloom.operators import chunks, cluster, learned, summary, terms, vectors
+from textloom.plans import flows
 from textloom.queries.settings import PAIR_THRESHOLD, SCORE_DIGITS, STOP_WORDS, WIDE_IDS
 from textloom.sources.corpus import normalize_lines
 from textloom.sources.tables import read_table
@@ -437,3 +438,18 @@ def ward_cut(spark, sf_dir):
 @query
 def cut_candidates(spark, sf_dir):
     return cluster.cut_candidates(cluster.ward_linkage(vectors_of(spark, sf_dir)).persist())
+
+
+# --- flows ----------------------------------------------------------------------
+
+
+@query
+def term_report_documents(spark, sf_dir):
+    tables = flows.term_report(corpus(spark, sf_dir), stops(spark))
+    return tables["Document_Statistics"]
+
+
+@query
+def summary_clusters(spark, sf_dir):
+    tables = flows.summary_clusters(corpus(spark, sf_dir), stops(spark), k=4, dim=64, n_init=1)
+    return tables["summaries_with_clusters"]
