@@ -345,7 +345,7 @@ def cosine_pairs(vecs: DataFrame, threshold: float, expand_copies: bool = False)
 
     within = math.sqrt(max(0.0, 2.0 - 2.0 * (threshold - 1.0 / scale)))
     schema = f"doc1 {id_type}, doc2 {id_type}, cosine double"
-    points = _padded(reps)
+    points = _padded(reps).persist()
     half = _blocked(points, points, kernel, schema, within=within)
     pairs = half.unionByName(half.select(F.col("doc2").alias("doc1"), F.col("doc1").alias("doc2"), "cosine"))
     if not expand_copies:
