@@ -4,10 +4,10 @@ A document is a set of word shingles. Two documents link when their sets' inters
 at least ``num/den`` of their union; the result is the connected components of the links.
 
 1. Documents with equal sets are one class from here on.
-2. Shingles are ordered from rare to common. How common a shingle is comes from counts over
-   all documents in a table of ``SLOTS`` sums, so the order is fixed in size; any order
-   gives exact results, a good one keeps passages that many documents share out of the
-   prefixes. Linked sets share one of their first ``n - ceil(n * num / den) + 1`` shingles.
+2. Shingles are ordered from rare to common. How common a shingle is comes from counts of
+   words and shingles over all documents, kept in tables of ``WORD_SLOTS`` and ``SLOTS``
+   sums, so what is broadcast is fixed in size. Any order gives exact results; a good one
+   keeps chance meetings and passages that many documents share out of the prefixes. Linked sets share one of their first ``n - ceil(n * num / den) + 1`` shingles.
 3. Shingles that stand in the prefix of two classes are kept. Each class goes with its set
    to the blocks of its first two. A block is searched by DivideSkip: for a query, the
    inverted lists of its shingles are split, the short ones are merged on a heap, the long
@@ -39,51 +39,85 @@ from textloom.llm.components import components
 from textloom.sources.tables import checkpoint
 
 SLOTS = 1 << 14
+WORD_SLOTS = 1 << 16
 BLOCK_ROWS = 2000
 HOMES = 2
 #: Weight of a probe against a step of the merge, as in the published algorithm.
 MU = 0.0085
 
 
-def text_shingles(data: np.ndarray, offsets: np.ndarray, size: int):
-    """Shingle hashes of every text; fewer words than ``size`` are one shingle."""
+def shingles_of(data: np.ndarray, offsets: np.ndarray, size: int):
+    """Word hashes, shingle hashes, and (first, last, fewer) shingles of every text.
+
+    A text with fewer words than ``size`` is one shingle; its words are given instead.
+    """
     data = LOWER[data]
     s, e, first = word_spans(data, offsets, NON_SPACE)
     words = span_hashes(data, s, e)
-    every = shingle_hashes(words, size)
-    for a, b in itertools.pairwise(first.tolist()):
-        yield every[a : b - size + 1] if b - a >= size else shingle_hashes(words[a:b], b - a) if b > a else every[:0]
+    places = [(a, b - size + 1, False) if b - a >= size else (a, b, True) for a, b in itertools.pairwise(first.tolist())]
+    return words, shingle_hashes(words, size), places
 
 
-def shingle_frequencies(docs: DataFrame, size: int) -> np.ndarray:
-    """Occurrences of all shingles of all documents, summed in ``SLOTS`` slots."""
+def frequencies(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Occurrences of all words and all shingles of all documents, in fixed tables of sums."""
 
     def run(batches):
-        n = np.zeros(SLOTS, np.int64)
+        n = np.zeros(WORD_SLOTS + SLOTS, np.int64)
         for batch in batches:
             for _, _, data, offsets in slices(batch.column(0)):
-                held = []
-                for h in text_shingles(data, offsets, size):
-                    held.append(h & U64(SLOTS - 1))
-                n += np.bincount(np.concatenate(held).astype(np.int64), minlength=SLOTS)
+                words, every, places = shingles_of(data, offsets, size)
+                inside = np.zeros(len(every) + 1, np.int64)
+                for a, b, fewer in places:
+                    if not fewer:
+                        inside[a] += 1
+                        inside[b] -= 1
+                every = every[np.cumsum(inside)[:-1] > 0]
+                n[:WORD_SLOTS] += np.bincount((words & U64(WORD_SLOTS - 1)).astype(np.int64), minlength=WORD_SLOTS)
+                n[WORD_SLOTS:] += np.bincount((every & U64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
         used = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(n[used])], names=["slot", "n"])
 
-    out = np.zeros(SLOTS, np.int64)
+    out = np.zeros(WORD_SLOTS + SLOTS, np.int64)
     for row in docs.select("text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
         out[row.slot] = row.n
-    return out
+    return out[:WORD_SLOTS], out[WORD_SLOTS:]
 
 
-def order_classes(frequencies: np.ndarray) -> np.ndarray:
-    """A byte per slot that grows with how far its sum is above the mean."""
-    mean = max(1.0, float(frequencies.mean()))
-    return np.clip(np.round(16 * np.log2(np.maximum(frequencies / mean, 1.0))), 0, 255).astype(U64)
+class Order:
+    """How common a shingle is, as a byte.
 
+    Up to 199: how often its words would meet by chance, from the words' frequencies.
+    Above: its own slot is well over the mean, as with a passage of many documents.
+    """
+
+    def __init__(self, words: np.ndarray, shingles: np.ndarray):
+        self.total = math.log2(max(1, int(words.sum())))
+        self.words = np.log2(np.maximum(words, 1)).astype(np.float32) - np.float32(self.total)
+        ratio = np.log2(np.maximum(shingles / max(1.0, float(shingles.mean())), 1.0))
+        self.heavy = np.where(ratio >= 1.5, np.clip(np.round(200 + 4 * ratio), 200, 255), 0).astype(np.int64)
+
+    def sets(self, data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:
+        """Distinct shingles of every text, rare ones first: the byte, then 56 bits of hash."""
+        words, every, places = shingles_of(data, offsets, size)
+        chance = self.words[(words & U64(WORD_SLOTS - 1)).astype(np.int64)]
+        together = chance[: len(every)].copy()
+        for k in range(1, size if len(every) else 0):
+            together += chance[k : k + len(every)]
+        every = self._tokens(every, together)
+        out = []
+        for a, b, fewer in places:
+            if not fewer:
+                out.append(np.unique(every[a:b]))
+            elif b > a:
+                out.append(self._tokens(shingle_hashes(words[a:b], b - a), chance[a:b].sum(keepdims=True)))
+            else:
+                out.append(every[:0])
+        return out
 
-def ordered_set(h: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """Distinct shingles of a text, rare ones first: a byte of rarity, 56 bits of hash."""
-    return np.unique((classes[(h & U64(SLOTS - 1)).astype(np.int64)] << U64(56)) | (h >> U64(8)))
+    def _tokens(self, h: np.ndarray, chance: np.ndarray) -> np.ndarray:
+        common = np.clip(np.round(4 * (chance + np.float32(self.total)) + 100), 0, 199).astype(np.int64)
+        common = np.maximum(common, self.heavy[(h & U64(SLOTS - 1)).astype(np.int64)])
+        return (common.astype(U64) << U64(56)) | (h >> U64(8))
 
 
 def fingerprint(tokens: np.ndarray) -> int:
@@ -190,15 +224,15 @@ class Block:
         return out
 
 
-def _describe(docs: DataFrame, size: int, num: int, den: int, classes) -> DataFrame:
+def _describe(docs: DataFrame, size: int, num: int, den: int, order) -> DataFrame:
     """Each document's set size, fingerprint and prefix."""
     schema = "k long, doc_id long, n long, c long, prefix array<long>"
 
     def run(batches):
-        table = classes.value
+        table = order.value
         for batch in batches:
             for i, j, data, offsets in slices(batch.column(2)):
-                sets = [ordered_set(h, table) for h in text_shingles(data, offsets, size)]
+                sets = table.sets(data, offsets, size)
                 cut = [s[: prefix_length(len(s), num, den)] if len(s) else s for s in sets]
                 ends = np.concatenate([[0], np.cumsum([len(p) for p in cut])]).astype(np.int32)
                 prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(cut).view(np.int64)))
@@ -216,14 +250,14 @@ def _describe(docs: DataFrame, size: int, num: int, den: int, classes) -> DataFr
     return docs.mapInArrow(run, schema)
 
 
-def _sets(rows: DataFrame, size: int, classes) -> DataFrame:
+def _sets(rows: DataFrame, size: int, order) -> DataFrame:
     """Rows (c, text, homes) with the set in place of the text."""
 
     def run(batches):
-        table = classes.value
+        table = order.value
         for batch in batches:
             for i, j, data, offsets in slices(batch.column(1)):
-                sets = [ordered_set(h, table) for h in text_shingles(data, offsets, size)]
+                sets = table.sets(data, offsets, size)
                 right = [fingerprint(s) == c for s, c in zip(sets, batch.column(0).slice(i, j - i).to_pylist())]
                 made = pa.array([s.tobytes() if ok else None for s, ok in zip(sets, right)], pa.binary())
                 yield pa.RecordBatch.from_arrays(
@@ -276,8 +310,8 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
     """
     source = docs.select(row_key().alias("k"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     context = docs.sparkSession.sparkContext
-    classes = context.broadcast(order_classes(shingle_frequencies(docs, size)))
-    every = checkpoint(_describe(source, size, num, den, classes))
+    order = context.broadcast(Order(*frequencies(docs, size)))
+    every = checkpoint(_describe(source, size, num, den, order))
     full = every.where("n > 0")
     sets = full.groupBy("c").agg(F.min("k").alias("k"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     tokens = sets.select("c", "k", "n", F.posexplode("prefix").alias("pos", "token"))
@@ -288,7 +322,7 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
     homes = meets.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= HOMES)
     homes = homes.groupBy("c", "k").agg(F.collect_list("token").alias("homes"))
     texts = homes.join(source.select("k", "text"), "k").select("c", "text", "homes")
-    stored = checkpoint(_sets(texts, size, classes).dropDuplicates(["c"]))
+    stored = checkpoint(_sets(texts, size, order).dropDuplicates(["c"]))
 
     blocks = F.ceil(F.col("df") / BLOCK_ROWS).cast("int")
     salts = F.when(F.col("c") == F.col("pivot"), F.sequence(F.lit(0), blocks - 1)).otherwise(
