@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def read_table(spark: SparkSession, path: str, *columns: str) -> DataFrame:
     """Columns of a Parquet table, spread over the cores when it has few splits.
@@ -75,9 +78,26 @@ def checkpoint(df: DataFrame) -> DataFrame:
     optimizer has inferred about the rows so far; carried through many rounds, that
     makes planning slower with every round.
     """
-    path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4()}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/table-{uuid.uuid4()}"
+    with shuffles_removed(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession):
+    """Inside, a query's shuffle files go when it ends, not when the driver collects garbage.
+
+    A table that was written needs them no more; kept, they would fill the disks of a job
+    of many steps.
+    """
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
 
 
 def numbered(ordered: DataFrame, name: str) -> DataFrame:
