@@ -7,9 +7,10 @@ at least ``num/den`` of their union; the result is the connected components of t
 2. Shingles are ordered from rare to common. How common a shingle is comes from counts of
    words and shingles over all documents, kept in tables of ``WORD_SLOTS`` and ``SLOTS``
    sums, so what is broadcast is fixed in size. Any order gives exact results; a good one
-   keeps chance meetings and passages that many documents share out of the prefixes. Linked sets share one of their first ``n - ceil(n * num / den) + 1`` shingles.
-3. Shingles that stand in the prefix of two classes are kept. Each class goes with its set
-   to the blocks of its first two. A block is searched by DivideSkip: for a query, the
+   keeps chance meetings and passages that many documents share out of the prefixes. Of the first ``n - ceil(n * num / den) + s`` shingles, linked sets share s.
+   A class whose prefix has fewer than s shingles that any other prefix holds is done.
+3. Each class that is left goes with its set to the blocks of two shingles, those that
+   most prefixes hold. A block is searched by DivideSkip: for a query, the
    inverted lists of its shingles are split, the short ones are merged on a heap, the long
    ones are probed by binary search, and sets that reach the required overlap T are linked.
    Queries stop when all that is left is linked, so copies do not meet pairwise. A block
@@ -42,6 +43,8 @@ SLOTS = 1 << 14
 WORD_SLOTS = 1 << 16
 BLOCK_ROWS = 2000
 HOMES = 2
+#: Prefixes are longer by so many hundredths of the set, and as many more must be shared.
+EXTRA = 4
 #: Weight of a probe against a step of the merge, as in the published algorithm.
 MU = 0.0085
 
@@ -131,7 +134,8 @@ def fingerprint(tokens: np.ndarray) -> int:
 
 
 def prefix_length(n: int, num: int, den: int) -> int:
-    return n - -(-n * num // den) + 1
+    """Linked sets share at least ``1 + n * EXTRA // 100`` of so many first shingles."""
+    return n - -(-n * num // den) + 1 + n * EXTRA // 100
 
 
 def _linked(overlap: int, n: int, m: int, num: int, den: int) -> bool:
@@ -224,6 +228,19 @@ class Block:
         return out
 
 
+def pack(tokens: np.ndarray) -> bytes:
+    """A set in six bytes a shingle; two shingles of two texts fall together once in 2**48."""
+    short = np.unique(tokens & U64((1 << 48) - 1))
+    return short.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    rows = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(rows), 8), np.uint8)
+    out[:, :6] = rows
+    return out.view(U64).ravel()
+
+
 def _describe(docs: DataFrame, size: int, num: int, den: int, order) -> DataFrame:
     """Each document's set size, fingerprint and prefix."""
     schema = "k long, doc_id long, n long, c long, prefix array<long>"
@@ -259,7 +276,7 @@ def _sets(rows: DataFrame, size: int, order) -> DataFrame:
             for i, j, data, offsets in slices(batch.column(1)):
                 sets = table.sets(data, offsets, size)
                 right = [fingerprint(s) == c for s, c in zip(sets, batch.column(0).slice(i, j - i).to_pylist())]
-                made = pa.array([s.tobytes() if ok else None for s, ok in zip(sets, right)], pa.binary())
+                made = pa.array([pack(s) if ok else None for s, ok in zip(sets, right)], pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(i, j - i), made, batch.column(2).slice(i, j - i)], names=["c", "tokens", "homes"]
                 )
@@ -279,7 +296,7 @@ def _search_blocks(members: DataFrame, num: int, den: int) -> DataFrame:
             group = list(group)
             if len(group) < 2:
                 continue
-            found = Block([np.frombuffer(r[3], U64) for r in group], num, den).links()
+            found = Block([unpack(r[3]) for r in group], num, den).links()
             if found:
                 a, b = zip(*((group[i][2], group[j][2]) for i, j in found))
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -295,7 +312,7 @@ def _count_overlaps(pairs: DataFrame, num: int, den: int) -> DataFrame:
         for batch in batches:
             keep = []
             for i in range(batch.num_rows):
-                x, y = (np.frombuffer(batch.column(k)[i].as_buffer(), U64) for k in (2, 3))
+                x, y = (unpack(batch.column(k)[i].as_py()) for k in (2, 3))
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(_linked(both, len(x), len(y), num, den))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
@@ -315,14 +332,19 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
     full = every.where("n > 0")
     sets = full.groupBy("c").agg(F.min("k").alias("k"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     tokens = sets.select("c", "k", "n", F.posexplode("prefix").alias("pos", "token"))
-    counts = tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("c").alias("pivot")).where("df > 1")
-    meets = checkpoint(tokens.join(counts, "token"))
-
-    first = Window.partitionBy("c").orderBy("pos", "token")
+    counts = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    meets = checkpoint(tokens.join(counts.select("token"), "token"))
+    least = 1 + F.floor(F.ceil(F.col("n") * num / den) * EXTRA / 100)
+    enough = meets.groupBy("c", "n").agg(F.count("*").alias("met")).where(F.col("met") >= least).select("c")
+    meets = checkpoint(meets.join(enough, "c"))
+    counts = meets.groupBy("token").agg(F.count("*").alias("df"), F.min("c").alias("pivot")).where("df > 1")
+    meets = checkpoint(meets.join(counts, "token"))
+
+    first = Window.partitionBy("c").orderBy(F.desc("df"), "token")
     homes = meets.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= HOMES)
     homes = homes.groupBy("c", "k").agg(F.collect_list("token").alias("homes"))
     texts = homes.join(source.select("k", "text"), "k").select("c", "text", "homes")
-    stored = checkpoint(_sets(texts, size, order).dropDuplicates(["c"]))
+    stored = checkpoint(_sets(texts, size, order))
 
     blocks = F.ceil(F.col("df") / BLOCK_ROWS).cast("int")
     salts = F.when(F.col("c") == F.col("pivot"), F.sequence(F.lit(0), blocks - 1)).otherwise(
@@ -342,13 +364,13 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
         (F.col("label_a") != F.col("label_b"))
         & ((F.col("n_a") < F.col("n_b")) | (F.col("n_a") == F.col("n_b")) & (F.col("c_a") < F.col("c_b")))
         & (den * F.col("n_a") >= num * F.col("n_b"))
-        & ((den + num) * (F.col("pos_a") + F.col("pos_b")) <= (den - num) * (F.col("n_a") + F.col("n_b")))
     )
     pairs = a.join(b, "token").where(near).groupBy("c_a", "c_b", "n_a", "n_b").agg(
         F.count("*").alias("shared"), (F.max("pos_a") + F.max("pos_b") + 2).alias("passed")
     )
     apart = F.col("passed") - 2 * F.col("shared")
     pairs = pairs.where((den + num) * apart <= (den - num) * (F.col("n_a") + F.col("n_b")))
+    pairs = pairs.where(F.col("shared") > F.floor(F.col("n_a") * EXTRA / 100))
     pairs = pairs.select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
     left, right = (stored.select(F.col("c").alias(s), F.col("tokens").alias(t)) for s, t in (("a", "left"), ("b", "right")))
     more = checkpoint(_count_overlaps(pairs.join(left, "a").join(right, "b"), num, den))
