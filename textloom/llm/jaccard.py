@@ -15,8 +15,9 @@ at least ``num/den`` of their union; the result is the connected components of t
    ones are probed by binary search, and sets that reach the required overlap T are linked.
    Queries stop when all that is left is linked, so copies do not meet pairwise. A block
    of more than ``BLOCK_ROWS`` sets is cut into several that share its first set.
-4. What step 3 leaves: pairs of classes that share a prefix shingle and are not connected
-   yet. They are listed, filtered by length and position, and their overlap is counted.
+4. What step 3 leaves: pairs of classes that share a prefix shingle, are not connected yet
+   and were in no block together. They are listed, filtered by length and position, and
+   their overlap is counted.
    With this step the components are exact.
 
 Nulls: a null text or one without words has an empty set and links with nothing. A null
@@ -356,12 +357,17 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
     labels = components(links)
 
     named = meets.join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
-    named = checkpoint(named.select("token", "c", "n", "pos", "label"))
-    mixed = named.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token")
+    # Sets that were in one block have met; a pair has to be listed only if it was in none.
+    blocks_of = members.groupBy("c").agg(F.sort_array(F.collect_set(F.xxhash64("token", "salt"))).alias("met"))
+    named = named.select("token", "c", "n", "pos", "label").join(blocks_of, "c")
+    named = checkpoint(named.withColumn("home", F.get("met", F.lit(0))))
+    sides = named.groupBy("token").agg(*(f(x).alias(f"{g}_{x}") for x in ("label", "home") for g, f in (("x", F.min), ("y", F.max))))
+    mixed = sides.where("x_label <> y_label AND x_home <> y_home").select("token")
     rest = named.join(mixed, "token")
-    a, b = (rest.select("token", *(F.col(x).alias(f"{x}_{s}") for x in ("c", "n", "pos", "label"))) for s in "ab")
+    a, b = (rest.select("token", *(F.col(x).alias(f"{x}_{s}") for x in ("c", "n", "pos", "label", "met"))) for s in "ab")
     near = (
         (F.col("label_a") != F.col("label_b"))
+        & ~F.arrays_overlap("met_a", "met_b")
         & ((F.col("n_a") < F.col("n_b")) | (F.col("n_a") == F.col("n_b")) & (F.col("c_a") < F.col("c_b")))
         & (den * F.col("n_a") >= num * F.col("n_b"))
     )
