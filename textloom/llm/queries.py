@@ -210,3 +210,19 @@ def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textloom.llm.jaccard import jaccard_components
 
     return jaccard_components(table(spark, sf_dir, "documents", "doc_id", "text")).drop("k")
+
+
+@query
+def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of whole texts that no repeated string of 200 bytes covers."""
+    from textloom.llm.suffixes import remove_repeats
+
+    found = remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
