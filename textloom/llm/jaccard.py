@@ -333,8 +333,9 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
     full = every.where("n > 0")
     sets = full.groupBy("c").agg(F.min("k").alias("k"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     tokens = sets.select("c", "k", "n", F.posexplode("prefix").alias("pos", "token"))
-    counts = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    meets = checkpoint(tokens.join(counts.select("token"), "token"))
+    # A table of its own: a join of two plain shuffles can be split where a shingle is hot.
+    shared = checkpoint(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token"))
+    meets = checkpoint(tokens.join(shared, "token"))
     least = 1 + F.floor(F.ceil(F.col("n") * num / den) * EXTRA / 100)
     enough = meets.groupBy("c", "n").agg(F.count("*").alias("met")).where(F.col("met") >= least).select("c")
     meets = checkpoint(meets.join(enough, "c"))
@@ -362,7 +363,7 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
     named = named.select("token", "c", "n", "pos", "label").join(blocks_of, "c")
     named = checkpoint(named.withColumn("home", F.get("met", F.lit(0))))
     sides = named.groupBy("token").agg(*(f(x).alias(f"{g}_{x}") for x in ("label", "home") for g, f in (("x", F.min), ("y", F.max))))
-    mixed = sides.where("x_label <> y_label AND x_home <> y_home").select("token")
+    mixed = checkpoint(sides.where("x_label <> y_label AND x_home <> y_home").select("token"))
     rest = named.join(mixed, "token")
     a, b = (rest.select("token", *(F.col(x).alias(f"{x}_{s}") for x in ("c", "n", "pos", "label", "met"))) for s in "ab")
     near = (

@@ -292,7 +292,8 @@ def _whole_marks(contents: DataFrame) -> DataFrame:
 def repeated_strings(docs: DataFrame) -> DataFrame:
     """(k, starts): packed runs of starts of repeated strings of each row (k, text)."""
     every = checkpoint(_segment_rows(docs.select("k", "text"), KMERS[0], False))
-    again = every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    # A table of its own: a join of two plain shuffles can be split where a key is hot.
+    again = checkpoint(every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
     met = checkpoint(every.join(again, "key"))
     contents = met.groupBy("key", "h").agg(F.count("*").alias("n"), F.min(F.struct("k", "at")).alias("one"))
     contents = checkpoint(contents.select("key", "h", (F.col("n") > 1).alias("whole"), "one.k", "one.at"))
