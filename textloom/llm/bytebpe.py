@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import functools
 import heapq
+import struct
 import unicodedata
 
 import numpy as np
@@ -28,6 +29,10 @@ from textloom.llm.common import map_texts
 
 #: Pieces whose tokens are remembered; at the bound the memory starts anew.
 CACHE = 1 << 19
+#: Rank of pairs that make no token.
+NEVER = 1 << 40
+#: Bytes up to which pieces are merged together; longer ones go by a heap each.
+SHORT_PIECE = 48
 #: Code points in a block of the scan.
 BLOCK = 128
 
@@ -116,19 +121,82 @@ def piece_starts(points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class Merger:
-    """Merges of single pieces by rank, remembered."""
+    """Merges of pieces by rank, remembered as packed 32-bit token ids."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks, self.cache = ranks, {}
-
-    def __call__(self, piece: bytes) -> tuple[bytes, bytes]:
-        """Token ids and token lengths, both as packed 32-bit integers."""
-        if len(self.cache) >= CACHE:
-            self.cache.clear()
-        parts = [piece] if piece in self.ranks else self._merge(piece)
-        ids = np.array([self.ranks[p] for p in parts], "<u4").tobytes()
-        made = self.cache[piece] = ids, np.array([len(p) for p in parts], "<u4").tobytes()
-        return made
+        self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        pairs = {}
+        for token, rank in ranks.items():
+            for k in range(1, len(token)):
+                left, right = ranks.get(token[:k]), ranks.get(token[k:])
+                if left is not None and right is not None:
+                    pairs[left << 32 | right] = rank
+        self.pairs = np.array(sorted(pairs), np.int64)
+        self.merged = np.array([pairs[k] for k in self.pairs.tolist()], np.int64)
+
+    def __call__(self, pieces: list[bytes]) -> list[bytes]:
+        """Token ids of pieces; those not remembered are merged together."""
+        found = list(map(self.cache.get, pieces))
+        if None in found:
+            new = {p for p, f in zip(pieces, found) if f is None}
+            if len(self.cache) + len(new) > CACHE:
+                self.cache.clear()
+                new = set(pieces)
+            self.learn(list(new))
+            found = list(map(self.cache.__getitem__, pieces))
+        return found
+
+    def learn(self, pieces: list[bytes]) -> None:
+        short = []
+        for piece in pieces:
+            if piece in self.ranks:
+                self.cache[piece] = struct.pack("<I", self.ranks[piece])
+            elif len(piece) <= SHORT_PIECE:
+                short.append(piece)
+            else:
+                ids = [self.ranks[p] for p in self._merge(piece)]
+                self.cache[piece] = struct.pack(f"<{len(ids)}I", *ids)
+        if short:
+            self.cache.update(zip(short, self._merge_together(short)))
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of the token that a pair makes, or NEVER."""
+        key = left << 32 | right
+        at = np.searchsorted(self.pairs, key)
+        at[at == len(self.pairs)] = 0
+        return np.where(self.pairs[at] == key, self.merged[at], NEVER)
+
+    def _merge_together(self, pieces: list[bytes]) -> list[bytes]:
+        """In each round every piece merges its pair of least rank, the leftmost of equals."""
+        out: list[bytes] = [b""] * len(pieces)
+        token = self.bytes[np.frombuffer(b"".join(pieces), np.uint8)]
+        owner = np.repeat(np.arange(len(pieces)), [len(p) for p in pieces])
+        rank = np.append(np.where(owner[1:] == owner[:-1], self._rank(token[:-1], token[1:]), NEVER), NEVER)
+        while len(token):
+            starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+            least = np.repeat(np.minimum.reduceat(rank, starts), np.diff(np.append(starts, len(token))))
+            done = least == NEVER
+            if done.any():
+                ids, whose = token[done], owner[done]
+                cuts = np.append(np.flatnonzero(np.append(True, whose[1:] != whose[:-1])), len(ids))
+                raw = ids.astype("<u4").tobytes()
+                for i, a, b in zip(whose[cuts[:-1]].tolist(), cuts.tolist(), cuts[1:].tolist()):
+                    out[i] = raw[4 * a : 4 * b]
+                token, owner, rank, least = token[~done], owner[~done], rank[~done], least[~done]
+                if not len(token):
+                    break
+            at = np.flatnonzero(rank == least)
+            at = at[np.append(True, owner[at][1:] != owner[at][:-1])]
+            token[at] = rank[at]
+            keep = np.ones(len(token), bool)
+            keep[at + 1] = False
+            at -= np.arange(len(at))
+            token, owner, rank = token[keep], owner[keep], rank[keep]
+            for i in (at, at[at > 0] - 1):
+                j = np.minimum(i + 1, len(token) - 1)
+                rank[i] = np.where((j > i) & (owner[i] == owner[j]), self._rank(token[i], token[j]), NEVER)
+        return out
 
     def _merge(self, piece: bytes) -> list[bytes]:
         """Always the pair of least rank, the leftmost of equals; n log n in the length."""
@@ -177,6 +245,9 @@ def encode(docs: DataFrame, path: str, keep: list[str] | None = None, starts: bo
 
     def make():
         merge = Merger(shared.value)
+        sizes = np.zeros(max(shared.value.values(), default=0) + 1, np.int64)
+        for token, rank in shared.value.items():
+            sizes[rank] = len(token)
 
         def work(data, offsets):
             raw = data.tobytes()
@@ -186,11 +257,10 @@ def encode(docs: DataFrame, path: str, keep: list[str] | None = None, starts: bo
             begin = lead[piece_starts(points, places)]
             first = np.searchsorted(begin, offsets).tolist()
             cuts = [*begin.tolist(), len(raw)]
-            known = merge.cache.get
-            made = [known(p) or merge(p) for p in map(raw.__getitem__, map(slice, cuts, cuts[1:]))]
-            out = {"ids": [b"".join([m[0] for m in made[a:b]]) for a, b in zip(first, first[1:])]}
+            made = merge(list(map(raw.__getitem__, map(slice, cuts, cuts[1:]))))
+            out = {"ids": [b"".join(made[a:b]) for a, b in zip(first, first[1:])]}
             if starts:
-                out["starts"] = [_offsets(b"".join([m[1] for m in made[a:b]])) for a, b in zip(first, first[1:])]
+                out["starts"] = [_offsets(sizes[np.frombuffer(ids, "<u4")]) for ids in out["ids"]]
             return out
 
         return work
@@ -198,8 +268,7 @@ def encode(docs: DataFrame, path: str, keep: list[str] | None = None, starts: bo
     return map_texts(docs, make, added, docs.columns if keep is None else keep)
 
 
-def _offsets(lengths: bytes) -> bytes:
-    sizes = np.frombuffer(lengths, "<u4")
+def _offsets(sizes: np.ndarray) -> bytes:
     return (np.cumsum(sizes) - sizes).astype("<u4").tobytes()
 
 

@@ -42,11 +42,6 @@ def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def grams(word: str, size: int) -> list[str]:
-    padded = f" {word} "
-    return [padded[i : i + size] for i in range(len(padded) - size + 1)]
-
-
 def _flush(counts: Counter, names: list[str]):
     columns = list(zip(*counts)) if counts else [[] for _ in names[:-1]]
     arrays = [pa.array(list(c), pa.int32() if name == "size" else pa.string()) for c, name in zip(columns, names)]
@@ -66,13 +61,42 @@ def _count_words(batches):
     yield from _flush(counts, ["lang", "word", "n"])
 
 
+def _weighted_grams(words: list[str], n: np.ndarray):
+    """Sums of n over the n-grams of words: (size, gram, sum), by sorting packed codes."""
+    text = "".join(f" {w} " for w in words)
+    points = np.frombuffer(text.encode("utf-32-le"), "<u4")
+    letters, codes = np.unique(points, return_inverse=True)
+    if len(letters) >= 1 << 15 and len(words) > 1:
+        half = len(words) // 2
+        yield from _weighted_grams(words[:half], n[:half])
+        yield from _weighted_grams(words[half:], n[half:])
+        return
+    sizes = np.array([len(w) + 2 for w in words])
+    owner = np.repeat(np.arange(len(words)), sizes)
+    packed = np.zeros(len(codes), np.int64)
+    for size in range(1, MAX_GRAM + 1):
+        m = len(codes) - size + 1
+        if m <= 0:
+            return
+        packed = (packed[:m] << 15) | codes[size - 1 :]
+        inside = owner[:m] == owner[size - 1 :]
+        grams, at = np.unique(packed[inside], return_inverse=True)
+        sums = np.bincount(at, n[owner[:m][inside]], len(grams)).astype(np.int64)
+        chars = [letters[(grams >> (15 * k)) & 0x7FFF] for k in range(size - 1, -1, -1)]
+        flat = np.stack(chars, axis=1).astype("<u4").tobytes().decode("utf-32-le")
+        for i, total in enumerate(sums.tolist()):
+            yield size, flat[i * size : (i + 1) * size], total
+
+
 def _count_grams(batches):
     counts: Counter = Counter()
     for batch in batches:
-        for lang, word, n in zip(*(c.to_pylist() for c in batch.columns)):
-            for size in range(1, MAX_GRAM + 1):
-                for gram in grams(word, size):
-                    counts[lang, size, gram] += n
+        langs, words, n = (c.to_pylist() for c in batch.columns)
+        weights = np.array(n, np.int64)
+        for lang in dict.fromkeys(langs):
+            mine = [i for i, x in enumerate(langs) if x == lang]
+            for size, gram, total in _weighted_grams([words[i] for i in mine], weights[mine]):
+                counts[lang, size, gram] += total
             if len(counts) >= BUFFER:
                 yield from _flush(counts, ["lang", "size", "gram", "n"])
     yield from _flush(counts, ["lang", "size", "gram", "n"])
@@ -90,10 +114,11 @@ class Model:
         self.langs = sorted(langs)
         at = {lang: i for i, lang in enumerate(self.langs)}
         self.words = self._logs(((r.word, at[r.lang], r.n) for r in word_counts), [word_totals.get(x, 0) for x in self.langs])
-        self.grams = {}
+        self.tables = {}
         for size in range(1, MAX_GRAM + 1):
             rows = ((r.gram, at[r.lang], r.n) for r in gram_counts if r["size"] == size)
-            self.grams[size] = self._logs(rows, [gram_totals.get((x, size), 0) for x in self.langs])
+            logs = self._logs(rows, [gram_totals.get((x, size), 0) for x in self.langs])
+            self.tables[size] = {g: i for i, g in enumerate(logs)}, np.array(list(logs.values())).reshape(-1, len(self.langs))
 
     @staticmethod
     def _logs(rows, totals) -> dict[str, np.ndarray]:
@@ -103,15 +128,32 @@ class Model:
         below = np.array([math.log(t + len(counts) / 2 + 1) for t in totals])
         return {item: np.log(n + 0.5) - below for item, n in counts.items()}
 
-    def score(self, word: str) -> np.ndarray:
-        known = self.words.get(word)
-        if known is not None:
-            return known
+    def scores(self, words: list[str]) -> np.ndarray:
+        """A row of log frequencies per word; unknown words back off to n-grams."""
+        out = np.zeros((len(words), len(self.langs)))
+        todo = []
+        for i, word in enumerate(words):
+            if (known := self.words.get(word)) is not None:
+                out[i] = known
+            else:
+                todo.append(i)
         for size in range(MAX_GRAM, 0, -1):
-            found = [s for g in grams(word, size) if (s := self.grams[size].get(g)) is not None]
-            if found:
-                return np.mean(found, axis=0)
-        return np.zeros(len(self.langs))
+            places, table = self.tables[size]
+            get, rows, counts, left, scored = places.get, [], [], [], []
+            for i in todo:
+                padded = f" {words[i]} "
+                found = [k for j in range(len(padded) - size + 1) if (k := get(padded[j : j + size])) is not None]
+                if found:
+                    rows += found
+                    counts.append(len(found))
+                    scored.append(i)
+                else:
+                    left.append(i)
+            if scored:
+                starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
+                out[scored] = np.add.reduceat(table[rows], starts, axis=0) / np.array(counts)[:, None]
+            todo = left
+        return out
 
 
 def train(labelled: DataFrame) -> Model:
@@ -142,35 +184,32 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Dat
     def make():
         model = shared.value
         places: dict[str, int] = {}
-        table = np.zeros((1 << 12, max(1, len(model.langs))))
+        table = np.zeros((0, len(model.langs)))
 
-        def place(word):
+        def learn(lists):
+            """Scores of the words of a slice that are not remembered yet."""
             nonlocal table
-            if len(places) >= CACHE:
+            new = list(dict.fromkeys(w for found in lists for w in found if w not in places))
+            if len(places) + len(new) > CACHE:
                 places.clear()
-            if len(places) == len(table):
-                table = np.concatenate([table, np.zeros_like(table)])
-            at = places[word] = len(places)
-            table[at] = model.score(word)
-            return at
+                table = table[:0]
+                new = list(dict.fromkeys(w for found in lists for w in found))
+            if new:
+                places.update((w, len(table) + i) for i, w in enumerate(new))
+                table = np.concatenate([table, model.scores(new)])
 
         def work(data, offsets):
             raw, at = data.tobytes(), offsets.tolist()
+            lists = [words(raw[a:b].decode()) for a, b in zip(at, at[1:])]
             preds, scores = [], []
-            for a, b in zip(at, at[1:]):
-                found = words(raw[a:b].decode())
+            if model.langs:
+                learn(lists)
+            for found in lists:
                 if not found or not model.langs:
                     preds.append(UNDETERMINED)
                     scores.append(0.0)
                     continue
-                total = np.zeros(len(model.langs))
-                for i in range(0, len(found), CACHE // 2):
-                    part = found[i : i + CACHE // 2]
-                    if len(places) + len(part) > CACHE:
-                        places.clear()
-                    known = places.get
-                    ids = [k if (k := known(w)) is not None else place(w) for w in part]
-                    total += table[ids].sum(axis=0)
+                total = table[[places[w] for w in found]].sum(axis=0)
                 best = int(np.argmax(total))
                 preds.append(model.langs[best])
                 scores.append(float(1 / np.exp(total - total[best]).sum()))
