@@ -118,7 +118,7 @@ class Model:
         for size in range(1, MAX_GRAM + 1):
             rows = ((r.gram, at[r.lang], r.n) for r in gram_counts if r["size"] == size)
             logs = self._logs(rows, [gram_totals.get((x, size), 0) for x in self.langs])
-            self.tables[size] = {g: i for i, g in enumerate(logs)}, np.array(list(logs.values())).reshape(-1, len(self.langs))
+            self.tables[size] = {g: i for i, g in enumerate(logs)}, np.array(list(logs.values())).reshape(len(logs), len(self.langs))
 
     @staticmethod
     def _logs(rows, totals) -> dict[str, np.ndarray]:

@@ -42,9 +42,18 @@ DIM = 4
 #: Width of the histogram bins of coordinates (in ten thousandths) and of log distance.
 BIN, LOG_BINS = 100, 200
 
+#: Parts into which a language and source is cut where rows meet its estimates.
+SALTS = 32
+
 GROUP = ["_lang", "_source"]
 
 
+def _meet(rows: DataFrame, of_group: DataFrame) -> DataFrame:
+    """Rows joined with a row per group; a hot group's rows go to ``SALTS`` keys."""
+    salted = of_group.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod("_id", F.lit(SALTS)).cast("int")).join(salted, [*GROUP, "_salt"]).drop("_salt")
+
+
 def _zero() -> Column:
     return F.lit(0).cast("long")
 
@@ -116,7 +125,7 @@ def _vectors(rows: DataFrame) -> DataFrame:
     pooled = rows.groupBy(*GROUP).agg(
         F.sum("n_words").alias("_n"), F.count("*").alias("_docs"), *(F.sum(c).alias(f"_{c}") for c in counts)
     )
-    joined = rows.join(pooled.where(F.col("_docs") >= LEAST), GROUP)
+    joined = _meet(rows, pooled.where(F.col("_docs") >= LEAST))
 
     def rate(c):
         return (F.col(c) + PRIOR * F.col(f"_{c}") / F.col("_n")) / (F.col("n_words") + PRIOR)
@@ -156,7 +165,7 @@ def _start(vectors: DataFrame) -> DataFrame:
 
 def _distances(vectors: DataFrame, estimates: DataFrame) -> DataFrame:
     """``d2``: squared Mahalanobis distance by forward substitution, and its bin."""
-    rows = vectors.join(estimates, GROUP)
+    rows = _meet(vectors, estimates)
     for i in range(1, DIM + 1):
         y = F.col(f"z{i}") / SCALE - F.col(f"m{i}")
         for j in range(1, i):
@@ -199,7 +208,7 @@ def _cholesky(moments: DataFrame) -> DataFrame:
 def _concentrate(vectors: DataFrame, estimates: DataFrame) -> DataFrame:
     """One concentration step."""
     distances = _distances(vectors, estimates)
-    inner = distances.join(_quantile_bin(distances, SUBSET, "last"), GROUP).where(F.col("bin") <= F.col("last"))
+    inner = _meet(distances, _quantile_bin(distances, SUBSET, "last")).where(F.col("bin") <= F.col("last"))
     whole = [F.col(z).cast("decimal(19,0)") for z in Z]
     sums = [F.sum(z).alias(f"s{i + 1}") for i, z in enumerate(whole)]
     sums += [F.sum((whole[i] * whole[j]).cast("decimal(28,0)")).alias(f"q{i + 1}{j + 1}") for i in range(DIM) for j in range(i + 1)]
@@ -226,7 +235,7 @@ def quality(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     middle = _quantile_bin(distances, 0.5, "middle")
     # The inner part is less spread than the whole: distances are scaled to their median.
     raise_by = F.greatest(F.expm1((F.col("middle") + 1) / LOG_BINS) / MEDIAN, F.lit(1.0))
-    verdicts = distances.join(middle, GROUP).select("_id", (F.col("d2") / raise_by).alias("_d2"))
+    verdicts = _meet(distances, middle).select("_id", (F.col("d2") / raise_by).alias("_d2"))
     joined = rows.join(verdicts, "_id", "left")
     return joined.select(
         *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",

@@ -39,7 +39,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\u\{([0-9A-Fa-f]{1,6})\}|\\x([0-9A-Fa-f]{2})|&#(\d{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
-BASE64 = re.compile(rf"[A-Za-z0-9+/_-]{{{MIN_BASE64},}}")
+BASE64 = re.compile(rf"[A-Za-z0-9+/_-]{{{MIN_BASE64},}}={{0,2}}")
 
 HEX_BYTES = np.zeros(256, bool)
 HEX_BYTES[list(b"0123456789abcdef")] = True
@@ -114,7 +114,7 @@ def _readable(data: bytes) -> str | None:
 
 def _base64_layers(layer: Layer):
     for m in BASE64.finditer(layer.text):
-        run = m[0].translate({45: 43, 95: 47})
+        run = m[0].rstrip("=").translate({45: 43, 95: 47})
         run = run[: len(run) - (len(run) % 4 == 1)]
         data = base64.b64decode(run + "=" * (-len(run) % 4))
         packed = False

@@ -29,6 +29,8 @@ from textloom.sources.tables import checkpoint
 ARCHIVE_BYTES = 4 << 20
 PART_BYTES = 8 << 20
 CHUNK = 1 << 18
+#: Compression level of members.
+LEVEL = 4
 DATE = "1970-01-01T00:00:00Z"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
@@ -170,7 +172,7 @@ def normalise(archives: DataFrame) -> DataFrame:
         out, index, size, part = [], [], 0, 0
         try:
             for head, record, _ in _records(_inflate(data)):
-                pack = zlib.compressobj(6, zlib.DEFLATED, 31)
+                pack = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
                 member = pack.compress(record) + pack.flush()
                 out.append(member)
                 index.append({"record_id": head["WARC-Record-ID"], "offset": size, "length": len(member)})
