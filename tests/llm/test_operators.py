@@ -365,7 +365,7 @@ def test_secrets_unwrapped_layers(spark, docs):
     escaped = "".join(f"\\u{ord(c):04x}" for c in plain)
     texts = {
         "a": f"é {plain} end", "b": "pass%77ord%3Dhunter2hunter2", "c": f"data {packed} end", "d": f"{twice}",
-        "e": f"go {escaped}.", "f": "AKIA" + "A" * 16 + " " + "0a" * 12, "g": "token=abc PASſWORD=abcdefgh", "h": None, "i": "%41%41 \\u0041 &#65; plain",
+        "e": f"go {escaped}!", "f": "AKIA" + "A" * 16 + " " + "0a" * 12, "g": "token=abc PASſWORD=abcdefgh", "h": None, "i": "%41%41 \\u0041 &#65; plain",
     }
     rows = secrets.scan_secrets(spark.createDataFrame(list(texts.items()), "doc_id string, text string"), redact=True).collect()
     found = {r.doc_id: [tuple(s) for s in r.secrets] for r in rows}
