@@ -197,3 +197,14 @@ def test_cluster_reports(spark):
     assert sizes == [(0, 1, 33.3), (1, 2, 66.7)]
     assert [tuple(r) for r in cluster.cluster_members(members).collect()] == [(0, "c"), (1, "a"), (1, "b")]
     assert {r.cluster: r.doc_id for r in cluster.cluster_reps(members).collect()} == {0: "c", 1: "a"}
+
+
+def test_kmeans_from_a_start_with_a_gap(spark):
+    points = [[0.0], [1.0], [10.0], [11.0]]
+    start = frame(spark, points, cluster=[0, 0, 2, 2])
+    assert dict(cluster.kmeans_from(start, 1).collect()) == {0: 0, 1: 0, 2: 2, 3: 2}
+
+
+def test_ward_refuses_vectors_that_are_not_finite(spark):
+    with pytest.raises(Exception, match="not finite"):
+        cluster.ward_linkage(frame(spark, [[0.0], [1.0], [float("nan")]])).collect()

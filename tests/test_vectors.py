@@ -146,7 +146,7 @@ def test_word_vectors_are_saved_and_repeatable(spark, tmp_path):
     learned.save_word_vectors(trained, str(tmp_path / "model"))
     loaded = learned.load_word_vectors(spark, str(tmp_path / "model"))
     assert {r.doc_id: r.vec for r in learned.doc_vectors_w2v(docs, loaded).collect()} == vecs
-    hashed = learned.train_word_vectors(word_chunks(docs), max_words=4, **settings)
+    hashed = learned.train_word_vectors(word_chunks(docs), buckets=4, **settings)
     assert hashed.buckets == 4 and hashed.model.getVectors().count() <= 4
 
 
@@ -167,3 +167,24 @@ def test_empty_input(spark):
     empty = spark.createDataFrame([], "doc_id long, vec array<double>")
     assert vectors.top_similar(empty, 3).count() == 0
     assert vectors.cosine_pairs(empty, 0.5).count() == 0
+
+
+def test_ties_of_near_copies_are_ranked_by_id(spark):
+    angles = {8: 0.0, 1: 0.0011, 0: 0.0012, 14: 0.0013, **{20 + i: 0.3 + i / 10 for i in range(16)}}
+    points = [[float(np.cos(a)), float(np.sin(a))] for a in angles.values()]
+    vecs = spark.createDataFrame(list(zip(angles, points)), "doc_id long, vec array<double>")
+    top = {r.source_document: r.similar_document for r in vectors.top_similar(vecs, 1).collect()}
+    assert top[8] == 0
+
+
+def test_stats_of_copies_only(spark):
+    vecs = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 2.0])], "doc_id long, vec array<double>")
+    row = vectors.similarity_stats(vecs).first()
+    assert (row.most_similarity, row.least_similarity) == (1.0, 1.0)
+    assert (row.least_similar_doc1, row.least_similar_doc2) == (1, 2)
+
+
+def test_vectors_that_are_not_finite_are_refused(spark):
+    vecs = spark.createDataFrame([(1, [1.0, 2.0]), (2, [float("nan"), 2.0])], "doc_id long, vec array<double>")
+    with pytest.raises(Exception, match="not finite"):
+        vectors.top_similar(vecs, 1).collect()

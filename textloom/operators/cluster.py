@@ -17,7 +17,7 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window, functions as F
 
-from textloom.operators.vectors import BLOCK_ROWS, DIGITS, _row_steps, _stack
+from textloom.operators.vectors import BLOCK_ROWS, DIGITS, _row_steps, _stack, finite
 from textloom.sources.tables import checkpoint, numbered
 
 MAX_K = 10
@@ -62,11 +62,15 @@ def membership(fit: Fit, vecs: DataFrame, *keep: str) -> DataFrame:
 
 
 def _nearest_centre(centres: np.ndarray):
+    # A label that no vector starts with has no centre and takes no vector.
+    labels = np.flatnonzero(np.isfinite(centres).all(axis=1)).astype("int32")
+    known = centres[labels]
+
     @F.pandas_udf("int")
     def nearest(batch: pd.Series) -> pd.Series:
         points = _stack(batch).astype(float)
-        squared = (centres**2).sum(1)[None, :] - 2.0 * points @ centres.T
-        return pd.Series(squared.argmin(axis=1).astype("int32"))
+        squared = (known**2).sum(1)[None, :] - 2.0 * points @ known.T
+        return pd.Series(labels[squared.argmin(axis=1)])
 
     return nearest
 
@@ -300,7 +304,7 @@ def ward_linkage(vecs: DataFrame, sizes: str | None = None) -> DataFrame:
     """
     points = vecs.select(
         F.col("doc_id").alias("id"),
-        F.col("vec").cast("array<double>").alias("vec"),
+        finite(F.col("vec").cast("array<double>")).alias("vec"),
         (F.lit(1) if sizes is None else F.col(sizes)).cast("long").alias("size"),
     )
     id_type = points.schema["id"].dataType.simpleString()
@@ -318,6 +322,8 @@ def ward_linkage(vecs: DataFrame, sizes: str | None = None) -> DataFrame:
         turn += 1
         after = checkpoint(_merge_mutual(_nearest_clusters(active, remaining, id_type)))
         merged = after.where(F.col("right").isNotNull())
+        if merged.isEmpty():
+            raise ValueError("no clusters are each other's nearest: distances overflow")
         merges = merges.unionByName(
             merged.select(F.col("id").alias("left"), "right", "height", "size", F.lit(turn).alias("turn"))
         )
@@ -450,6 +456,8 @@ def _merge_rest(active: DataFrame, turn: int, schema) -> DataFrame:
                 }
             )
             near = _nearest_in_block(table, table)
+            if not near.duplicated(["left", "right"]).any():
+                raise ValueError("no clusters are each other's nearest: distances overflow")
             for pair in near[near.duplicated(["left", "right"])].itertuples(index=False):
                 (x, n), (y, m) = clusters[pair.left], clusters.pop(pair.right)
                 clusters[pair.left] = ((x * n + y * m) / (n + m), n + m)

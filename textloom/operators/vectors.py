@@ -151,7 +151,9 @@ def _blocked(
     cells = {r.cell: r for r in cells.collect()}
     if within is None:
         near = {r.cell: r.reach for r in _smallest_per_pivot(t, nearest).collect()}
-        reach = {c: cells[c].radius + near.get(c, math.inf) for c in cells}
+        # Scores are rounded before they are ranked: a tie can be a little farther away.
+        tie = 2.0 * 10.0**-DIGITS
+        reach = {c: math.sqrt((cells[c].radius + near.get(c, math.inf)) ** 2 + tie) for c in cells}
     else:
         reach = {c: within for c in cells}
     limits = [
@@ -238,8 +240,14 @@ def _nearest_pairs(queries: DataFrame, targets: DataFrame, n: int, sign: int = 1
     return ranked.select("q", "t", "sim")
 
 
+def finite(vec: Column) -> Column:
+    """The vector, or an error where a component is NaN or infinite: no distance is defined."""
+    odd = F.exists(vec, lambda x: F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
+    return F.when(odd, F.raise_error(F.lit("a vector has a component that is not finite"))).otherwise(vec)
+
+
 def _units(vecs: DataFrame) -> DataFrame:
-    return vecs.select("doc_id", unit(F.col("vec")).alias("vec"))
+    return vecs.select("doc_id", unit(finite(F.col("vec"))).alias("vec"))
 
 
 def copy_groups(vecs: DataFrame) -> DataFrame:
@@ -435,7 +443,8 @@ def similarity_stats(vecs: DataFrame) -> DataFrame:
         "dimensions",
         mean_similarity(vecs).alias("mean_similarity"),
         nearest.scalar().alias("most"),
-        farthest.scalar().alias("least"),
+        # Copies of one vector only: their pair is also the least similar one.
+        F.coalesce(farthest.scalar(), nearest.scalar()).alias("least"),
     ).select(
         "documents",
         "dimensions",

@@ -285,6 +285,7 @@ UNION ALL SELECT doc_id, doc_id, 1.0::DOUBLE FROM vecs""",
   row_number() OVER (PARTITION BY doc1 ORDER BY cosine DESC, doc2)::BIGINT AS rank
 FROM pairs QUALIFY row_number() OVER (PARTITION BY doc1 ORDER BY cosine DESC, doc2) <= 5""",
     ),
+    "copy_groups": """SELECT vec_id AS doc_id, min(vec_id) OVER (PARTITION BY embedding) AS rep FROM embeddings""",
     "most_similar": with_(
         VECS,
         PAIRS,

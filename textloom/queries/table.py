@@ -283,6 +283,11 @@ def similarity_stats(spark, sf_dir):
     return stats.withColumn("dimensions", F.col("dimensions").cast("long"))
 
 
+@query
+def copy_groups(spark, sf_dir):
+    return vectors.copy_groups(vectors_of(spark, sf_dir))
+
+
 @query
 def similarity_long(spark, sf_dir):
     return vectors.similarity_long(vectors_of(spark, sf_dir), PAIR_THRESHOLD)
@@ -396,10 +401,7 @@ def extract_all(spark, sf_dir):
 @query
 def doc_vectors_w2v(spark, sf_dir):
     docs = corpus(spark, sf_dir)
-    cores = spark.sparkContext.defaultParallelism
-    trained = learned.train_word_vectors(
-        chunks.word_chunks(docs), dim=32, iterations=2, window=5, partitions=cores
-    )
+    trained = learned.train_word_vectors(chunks.word_chunks(docs))
     vecs = learned.doc_vectors_w2v(docs, trained)
     return vecs.select("doc_id", F.posexplode("vec").alias("dim", "value"))
 
