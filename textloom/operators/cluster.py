@@ -14,7 +14,8 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window, functions as F
 
 from textloom.operators.vectors import BLOCK_ROWS, DIGITS, _row_steps, _stack, finite
@@ -77,8 +78,9 @@ def _nearest_centre(centres: np.ndarray):
 
 def cluster_means(assigned: DataFrame) -> DataFrame:
     """Centre of each cluster of ``(vec, cluster)``: ``(cluster, dim, mean)``."""
-    values = assigned.select("cluster", F.posexplode("vec").alias("dim", "x"))
-    return values.groupBy("cluster", "dim").agg(F.avg(F.col("x").cast("double")).alias("mean"))
+    # One row per vector is summed, not one per number of it.
+    means = _features(assigned.where("vec is not null")).groupBy("cluster").agg(Summarizer.mean(F.col("features")).alias("mean"))
+    return means.select("cluster", F.posexplode(vector_to_array("mean")).alias("dim", "mean"))
 
 
 def kmeans_from(assigned: DataFrame, iterations: int) -> DataFrame:
@@ -109,10 +111,10 @@ def within_ss(assigned: DataFrame) -> DataFrame:
 
     One row ``(k, wss)``; with a constant cluster, the cost of a single one.
     """
-    values = assigned.select("cluster", F.posexplode("vec").alias("dim", "x"))
-    values = values.withColumn("x", F.col("x").cast("double"))
-    spread = values.groupBy("cluster", "dim").agg((F.var_pop("x") * F.count("x")).alias("ss"))
-    return spread.agg(F.countDistinct("cluster").cast("int").alias("k"), F.sum("ss").alias("wss"))
+    found = Summarizer.metrics("variance", "count").summary(F.col("features"))
+    spread = _features(assigned.where("vec is not null")).groupBy("cluster").agg(found.alias("s"))
+    total = F.aggregate(vector_to_array("s.variance"), F.lit(0.0), lambda a, x: a + x)
+    return spread.agg(F.count("*").cast("int").alias("k"), F.sum(total * (F.col("s.count") - 1)).alias("wss"))
 
 
 def elbow(vecs: DataFrame, ks: Iterable[int] = range(1, MAX_K + 1), n_init: int = 2, seed: int = 42) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from textloom.functions import text as T
 from textloom.queries.settings import PAIR_THRESHOLD, STOP_WORDS, WIDE_IDS
 
 
@@ -14,8 +13,19 @@ def with_(*ctes: str, select: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n" + select
 
 
-WORDS = f"regexp_extract_all(lower(coalesce(text, '')), {quoted(T.portable(T.WORD_PATTERN))})"
-SPACED = f"regexp_extract_all(coalesce(text, ''), {quoted(T.portable(T.NON_SPACE_PATTERN))})"
+# Stated here on their own, so that a fault in the library's patterns shows.
+WORD = quoted(
+    "("
+    r"[\p{L}\p{M}]+([.'\x{2018}\x{2019}\x{B7}][\p{L}\p{M}]+)*"
+    r"|\p{Nd}+([.,;'\x{2018}\x{2019}]\p{Nd}+)*"
+    "|_"
+    ")+"
+)
+NON_SPACE = quoted(r"[^\x09-\x0D\x20]+")
+SENTENCE = quoted(r"[^\n.!?]+([.!?]+[^\x09-\x0D\x20.!?][^\n.!?]*)*[.!?]*")
+
+WORDS = f"regexp_extract_all(lower(coalesce(text, '')), {WORD})"
+SPACED = f"regexp_extract_all(coalesce(text, ''), {NON_SPACE})"
 
 STOPS = "stops AS (SELECT unnest([" + ", ".join(quoted(w) for w in STOP_WORDS) + "]) AS word)"
 TOKENS = f"""tokens AS (
@@ -216,17 +226,36 @@ g AS (SELECT cluster, i, var_pop(x) * count(*) AS ss FROM x GROUP BY ALL)""",
     )
 
 
+COORDINATES = "x AS (SELECT doc_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM vecs)"
+
+
+def kmeans_ctes(start: str, rounds: int, name: str) -> list[str]:
+    """Lloyd's rounds from a label per vector; the last ones are ``{name}a{rounds}``."""
+    p = name
+    ctes = [f"{p}a0 AS (SELECT doc_id, {start} AS cluster FROM vecs)"]
+    for r in range(1, rounds + 1):
+        ctes.append(f"""{p}c{r} AS (SELECT cluster, i, avg(x) AS m FROM x JOIN {p}a{r - 1} USING (doc_id) GROUP BY ALL),
+{p}d{r} AS (SELECT doc_id, cluster, sum((x - m) * (x - m)) AS d FROM x JOIN {p}c{r} USING (i) GROUP BY ALL),
+{p}a{r} AS (SELECT doc_id, arg_min(cluster, (d, cluster)) AS cluster FROM {p}d{r} GROUP BY doc_id)""")
+    return ctes
+
+
 def kmeans_rounds(rounds: int) -> str:
-    ctes = [
+    ctes = kmeans_ctes("cluster", rounds, "")
+    return with_(VECS, COORDINATES, *ctes, select=f"SELECT doc_id, cluster FROM a{rounds}")
+
+
+def elbow_rounds(ks: range, rounds: int) -> str:
+    ctes = [c for k in ks for c in kmeans_ctes(f"doc_id % {k}", rounds, f"k{k}_")]
+    labels = " UNION ALL ".join(f"SELECT {k} AS k, doc_id, cluster FROM k{k}_a{rounds}" for k in ks)
+    return with_(
         VECS,
-        "x AS (SELECT doc_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM vecs)",
-        "a0 AS (SELECT doc_id, cluster FROM vecs)",
-    ]
-    for r in range(1, rounds + 1):
-        ctes.append(f"""c{r} AS (SELECT cluster, i, avg(x) AS m FROM x JOIN a{r - 1} USING (doc_id) GROUP BY ALL),
-d{r} AS (SELECT doc_id, cluster, sum((x - m) * (x - m)) AS d FROM x JOIN c{r} USING (i) GROUP BY ALL),
-a{r} AS (SELECT doc_id, arg_min(cluster, (d, cluster)) AS cluster FROM d{r} GROUP BY doc_id)""")
-    return with_(*ctes, select=f"SELECT doc_id, cluster FROM a{rounds}")
+        COORDINATES,
+        *ctes,
+        f"labels AS ({labels})",
+        "g AS (SELECT k, cluster, i, var_pop(x) * count(*) AS ss FROM x JOIN labels USING (doc_id) GROUP BY ALL)",
+        select="SELECT k::INTEGER AS k, round(sum(ss), 6) AS wss FROM g GROUP BY k",
+    )
 
 
 MEMBERS = "members AS (SELECT doc_id, quality AS cluster FROM labels)"
@@ -307,6 +336,14 @@ FROM pairs QUALIFY row_number() OVER (PARTITION BY doc1 ORDER BY cosine DESC, do
 FROM most m, least l""",
     ),
     "kmeans_from": kmeans_rounds(2),
+    "elbow_from": elbow_rounds(range(1, 11), 2),
+    "ward_totals": with_(
+        VECS,
+        COORDINATES,
+        "g AS (SELECT i, var_pop(x) * count(*) AS ss FROM x GROUP BY i)",
+        select="""SELECT (SELECT count(*) - 1 FROM vecs)::BIGINT AS merges, (SELECT count(*) FROM vecs)::BIGINT AS last_size,
+  (SELECT count(*) FROM vecs)::BIGINT AS names, round(sum(ss), 6) AS half_squared_heights FROM g""",
+    ),
     "elbow_one": within_of("0"),
     "within_ss": within_of("cluster"),
     "silhouette": silhouette_of("d"),
@@ -364,10 +401,6 @@ def summary_ctes(source: str, name: str, keys: str, least: int, most: int) -> st
   FROM {s}_j)"""
 
 
-WORD = quoted(T.portable(T.WORD_PATTERN))
-NON_SPACE = quoted(T.portable(T.NON_SPACE_PATTERN))
-SENTENCE = quoted(T.portable(T.SENTENCE_PATTERN))
-
 LONG_SUMMARIES = (
     *IDF,
     overlap_cte(500, 50),

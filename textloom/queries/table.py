@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -311,6 +312,15 @@ def kmeans_from(spark, sf_dir):
     return cluster.kmeans_from(labelled(spark, sf_dir), 2)
 
 
+@query
+def elbow_from(spark, sf_dir):
+    """Cost of 1 to 10 clusters after two rounds from fixed starts."""
+    vecs = vectors_of(spark, sf_dir).drop("label").persist()
+    starts = (vecs.withColumn("cluster", F.pmod("doc_id", F.lit(k)).cast("int")) for k in range(1, cluster.MAX_K + 1))
+    costs = [cluster.within_ss(vecs.join(cluster.kmeans_from(start, 2), "doc_id")) for start in starts]
+    return rounded(functools.reduce(DataFrame.unionAll, costs), 6)
+
+
 @query
 def elbow_one(spark, sf_dir):
     return rounded(cluster.within_ss(vectors_of(spark, sf_dir).withColumn("cluster", F.lit(0))), 6)
@@ -432,6 +442,19 @@ def ward_linkage(spark, sf_dir):
     return cluster.ward_linkage(vectors_of(spark, sf_dir))
 
 
+@query
+def ward_totals(spark, sf_dir):
+    """What any full tree must give: half the squared heights add up to the total sum of squares."""
+    tree = cluster.ward_linkage(vectors_of(spark, sf_dir)).persist()
+    names = tree.select(F.explode(F.array("left", "right")).alias("name")).agg(F.countDistinct("name").alias("names"))
+    totals = tree.agg(
+        F.count("*").alias("merges"),
+        F.max("size").alias("last_size"),
+        F.round(F.sum(F.pow("height", F.lit(2)) / 2), 6).alias("half_squared_heights"),
+    )
+    return totals.withColumn("names", names.scalar())
+
+
 @query
 def ward_cut(spark, sf_dir):
     return cluster.cut_k(cluster.ward_linkage(vectors_of(spark, sf_dir)).persist(), 4)
