@@ -16,8 +16,10 @@ at least ``num/den`` of their union; the result is the connected components of t
    Queries stop when all that is left is linked, so copies do not meet pairwise. A block
    of more than ``BLOCK_ROWS`` sets is cut into several that share its first set.
 4. What step 3 leaves: pairs of classes that share a prefix shingle, are not connected yet
-   and were in no block together. They are listed, filtered by length and position, and
-   their overlap is counted.
+   and were in no block together. They meet by shingle and by band of set size, so a
+   shingle of many sets is compared within neighbouring sizes only; pairs are filtered by
+   length, by ``SKETCH`` parity bits of the sets (sets differ in at least as many shingles
+   as their parities differ) and by position, and their overlap is counted.
    With this step the components are exact.
 
 Nulls: a null text or one without words has an empty set and links with nothing. A null
@@ -46,6 +48,8 @@ BLOCK_ROWS = 2000
 HOMES = 2
 #: Prefixes are longer by so many hundredths of the set, and as many more must be shared.
 EXTRA = 4
+#: Parity bits of a set: bit i tells whether it has an odd number of shingles in slot i.
+SKETCH = 512
 #: Weight of a probe against a step of the merge, as in the published algorithm.
 MU = 0.0085
 
@@ -242,6 +246,18 @@ def unpack(data: bytes) -> np.ndarray:
     return out.view(U64).ravel()
 
 
+def sketch(data: bytes) -> np.ndarray:
+    """Parities of a packed set, as 64-bit words."""
+    odd = np.bincount((unpack(data) & U64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def band_of(n, num: int, den: int):
+    """Band of a set size: sizes that can link are in one band or in neighbouring ones."""
+    # A little wider than the threshold asks, so that rounding cannot put sizes two apart.
+    return F.floor(F.log(n) / max(1.001 * math.log(den / num), 0.01)).cast("int")
+
+
 def _describe(docs: DataFrame, size: int, num: int, den: int, order) -> DataFrame:
     """Each document's set size, fingerprint and prefix."""
     schema = "k long, doc_id long, n long, c long, prefix array<long>"
@@ -269,7 +285,7 @@ def _describe(docs: DataFrame, size: int, num: int, den: int, order) -> DataFram
 
 
 def _sets(rows: DataFrame, size: int, order) -> DataFrame:
-    """Rows (c, text, homes) with the set in place of the text."""
+    """Rows (c, text, homes) with the set in place of the text, and its sketch."""
 
     def run(batches):
         table = order.value
@@ -277,12 +293,19 @@ def _sets(rows: DataFrame, size: int, order) -> DataFrame:
             for i, j, data, offsets in slices(batch.column(1)):
                 sets = table.sets(data, offsets, size)
                 right = [fingerprint(s) == c for s, c in zip(sets, batch.column(0).slice(i, j - i).to_pylist())]
-                made = pa.array([pack(s) if ok else None for s, ok in zip(sets, right)], pa.binary())
+                made = [pack(s) if ok else None for s, ok in zip(sets, right)]
+                bits = [sketch(m) if m else None for m in made]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), made, batch.column(2).slice(i, j - i)], names=["c", "tokens", "homes"]
+                    [
+                        batch.column(0).slice(i, j - i),
+                        pa.array(made, pa.binary()),
+                        batch.column(2).slice(i, j - i),
+                        pa.array(bits, pa.list_(pa.int64())),
+                    ],
+                    names=["c", "tokens", "homes", "sketch"],
                 )
 
-    return rows.mapInArrow(run, "c long, tokens binary, homes array<long>").where(F.col("tokens").isNotNull())
+    return rows.mapInArrow(run, "c long, tokens binary, homes array<long>, sketch array<long>").where(F.col("tokens").isNotNull())
 
 
 def _search_blocks(members: DataFrame, num: int, den: int) -> DataFrame:
@@ -364,15 +387,22 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
     named = checkpoint(named.withColumn("home", F.get("met", F.lit(0))))
     sides = named.groupBy("token").agg(*(f(x).alias(f"{g}_{x}") for x in ("label", "home") for g, f in (("x", F.min), ("y", F.max))))
     mixed = checkpoint(sides.where("x_label <> y_label AND x_home <> y_home").select("token"))
-    rest = named.join(mixed, "token")
-    a, b = (rest.select("token", *(F.col(x).alias(f"{x}_{s}") for x in ("c", "n", "pos", "label", "met"))) for s in "ab")
+    rest = named.join(mixed, "token").join(stored.select("c", "sketch"), "c").withColumn("band", band_of(F.col("n"), num, den))
+    rest = checkpoint(rest)
+    parts = ("c", "n", "pos", "label", "met", "sketch")
+    a, b = (rest.select("token", "band", *(F.col(x).alias(f"{x}_{s}") for x in parts)) for s in "ab")
+    # The larger set of a pair is in the band of the smaller one or in the next.
+    a = a.withColumn("band", F.explode(F.array("band", F.col("band") + 1)))
+    words = ((F.get(f"sketch_{s}", F.lit(i)) for s in "ab") for i in range(SKETCH // 64))
+    differ = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in words), F.lit(0))
     near = (
         (F.col("label_a") != F.col("label_b"))
         & ~F.arrays_overlap("met_a", "met_b")
         & ((F.col("n_a") < F.col("n_b")) | (F.col("n_a") == F.col("n_b")) & (F.col("c_a") < F.col("c_b")))
         & (den * F.col("n_a") >= num * F.col("n_b"))
+        & ((den + num) * differ <= (den - num) * (F.col("n_a") + F.col("n_b")))
     )
-    pairs = a.join(b, "token").where(near).groupBy("c_a", "c_b", "n_a", "n_b").agg(
+    pairs = a.join(b, ["token", "band"]).where(near).groupBy("c_a", "c_b", "n_a", "n_b").agg(
         F.count("*").alias("shared"), (F.max("pos_a") + F.max("pos_b") + 2).alias("passed")
     )
     apart = F.col("passed") - 2 * F.col("shared")
