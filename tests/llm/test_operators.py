@@ -1,6 +1,7 @@
 """Each operator against a plain computation, on rows chosen to be awkward."""
 
 import collections
+import gzip
 import hashlib
 import random
 import re
@@ -380,6 +381,31 @@ def test_secrets_unwrapped_layers(spark, docs):
     assert secrets.scan_secrets(docs).count() == docs.count() and secrets.scan_secrets(docs.limit(0)).count() == 0
 
 
+def test_secrets_in_every_gzip_member_and_large_layers(monkeypatch):
+    import base64
+
+    plain, size = b"password = hunter2hunter2", 3 << 20
+    coded = lambda data: base64.b64encode(data).decode()
+    late = gzip.compress(b"first ") + gzip.compress(b"second pass") + b"\0" * 8 + gzip.compress(plain[4:])
+    long = random.Random(5).randbytes(size).hex().replace("a", " ").encode()
+    for limit in (secrets.MAX_LAYER, 1 << 20):
+        monkeypatch.setattr(secrets, "MAX_LAYER", limit)
+        for data in (
+            late,
+            gzip.compress(b"a" * size + b" " + plain),
+            gzip.compress(b" " * (limit + 1 - 12) + plain + b" " * size, 1),
+            gzip.compress(gzip.compress(b"\n" * size + base64.b64encode(zlib.compress(plain + b"!" * size)))),
+            gzip.compress(b"," * size + "".join(f"%{c:02x}" for c in plain).encode()),
+            gzip.compress(b"," * size + "".join(f"\\u{c:04x}" for c in plain).encode()),
+            gzip.compress(b"," * size + base64.b64encode(b"," * size + plain)),
+            gzip.compress(plain + long)[:-40],
+        ):
+            text = f"data {coded(data)} end"
+            assert ("assign", 5, len(text) - 4) in secrets.find_secrets(text)[1]
+        text = f"data {coded(gzip.compress(b',' * size + b'password = hunt'))} end"
+        assert secrets.find_secrets(text)[1] == []
+
+
 # --- WARC ----------------------------------------------------------------------
 
 

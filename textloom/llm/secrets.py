@@ -7,14 +7,21 @@ of its characters stands for. A layer that was seen before in the same document
 taken again, which ends cycles; the work stops when no new layer appears.
 
 Spans count code points of the original text. A null or empty text has none. Rows are
-scanned by themselves, so repeated rows get equal results. A compressed layer of more than
-``MAX_LAYER`` bytes is left packed, which bounds memory.
+scanned by themselves, so repeated rows get equal results.
+
+Everything inside compressed data stands for the one span of that data, so such a layer is
+kept as bytes and only the kinds in it matter. One of more than ``MAX_LAYER`` bytes is a
+temporary file without a name, mapped into memory page by page: it is worked on whole, and
+memory does not follow its size.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
+import mmap
 import re
+import tempfile
 import zlib
 from collections import deque
 
@@ -41,6 +48,12 @@ PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\u\{([0-9A-Fa-f]{1,6})\}|\\x([0-9A-Fa-f]{2})|&#(\d{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
 BASE64 = re.compile(rf"[A-Za-z0-9+/_-]{{{MIN_BASE64},}}={{0,2}}")
 
+#: The same patterns on UTF-8; long runs are taken without memory for going back.
+ASSIGN_B, ACCESS_B, HEX_B, BASE64_B = (re.compile(x.pattern.encode()) for x in (ASSIGN, ACCESS, HEX, BASE64))
+PERCENT_B = re.compile(PERCENT.pattern.encode() + b"+")
+ESCAPE_B = re.compile(ESCAPE.pattern.encode().replace(b"{4})+", b"{4})++"))
+ZLIB = re.compile(b"\x1f\x8b\x08|" + b"|".join(re.escape(bytes((a, b))) for a in range(8, 0x80, 16) for b in range(256) if not b & 32 and (a * 256 + b) % 31 == 0), re.DOTALL)
+
 HEX_BYTES = np.zeros(256, bool)
 HEX_BYTES[list(b"0123456789abcdef")] = True
 BASE64_BYTES = np.zeros(256, bool)
@@ -68,6 +81,85 @@ class Layer:
     def span(self, a: int, b: int) -> tuple[int, int]:
         return (a, b) if self.begin is None else (int(self.begin[a]), int(self.end[b - 1]))
 
+    def key(self):
+        return self.text
+
+    def scan(self) -> set[tuple[str, int, int]]:
+        return {(kind, *self.span(a, b)) for kind, a, b in scan(self.text)}
+
+    def unwrap(self):
+        return unwrap(self)
+
+
+class Packed:
+    """Bytes that stand for one span of the original as a whole."""
+
+    def __init__(self, data: bytes | mmap.mmap, begin: int, end: int):
+        self.data, self.begin, self.end = data, begin, end
+
+    def key(self) -> tuple:
+        digest = hashlib.sha256()
+        for a in range(0, len(self.data), 1 << 20):
+            digest.update(self.data[a : a + (1 << 20)])
+        return digest.digest(), self.begin, self.end
+
+    def scan(self) -> set[tuple[str, int, int]]:
+        data, kinds = self.data, set()
+        if any(m.end(2) - m.start(2) >= 6 for m in ASSIGN_B.finditer(data)):
+            kinds.add("assign")
+        if any(m.end() - m.start() >= 20 for m in ACCESS_B.finditer(data)):
+            kinds.add("access")
+        if HEX_B.search(data):
+            kinds.add("hex")
+        return {(kind, self.begin, self.end) for kind in kinds}
+
+    def unwrap(self):
+        """The layers directly inside."""
+        data = self.data
+        if PERCENT_B.search(data):
+            yield self._rewritten(PERCENT_B, 3, lambda x: bytes.fromhex(x.decode().replace("%", "")))
+        if ESCAPE_B.search(data):
+            yield self._rewritten(ESCAPE_B, 6, lambda x: ESCAPE.sub(_unescape, x.decode()).encode("utf-8", "replace"))
+        for m in BASE64_B.finditer(data):
+            yield self._made(_decoded(_letters(data, *m.span())))
+        if ZLIB.match(data):
+            yield self._made(_members(data, 0)[0])
+
+    def _made(self, data) -> Packed:
+        return Packed(data, self.begin, self.end)
+
+    def _rewritten(self, pattern, unit: int, new) -> Packed:
+        data, out, at = self.data, Spool(), 0
+        for m in pattern.finditer(data):
+            out.copy(data, at, m.start())
+            for a in range(m.start(), m.end(), unit << 18):
+                out.write(new(data[a : min(a + (unit << 18), m.end())]))
+            at = m.end()
+        out.copy(data, at, len(data))
+        return self._made(out.contents())
+
+
+TO_PLAIN = bytes.maketrans(b"-_", b"+/")
+
+
+def _letters(data: bytes | mmap.mmap, a: int, b: int):
+    """Base64 digits of data[a:b] in blocks."""
+    for i in range(a, b, 1 << 20):
+        yield data[i : min(i + (1 << 20), b)].translate(TO_PLAIN, b"=")
+
+
+def _decoded(blocks) -> bytes | mmap.mmap:
+    """Bytes of base64 digits."""
+    out, rest = Spool(), b""
+    for block in blocks:
+        rest += block
+        n = len(rest) & ~3
+        out.write(base64.b64decode(rest[:n]))
+        rest = rest[n:]
+    if len(rest) > 1:
+        out.write(base64.b64decode(rest + b"=" * (4 - len(rest))))
+    return out.contents()
+
 
 def _rewritten(layer: Layer, found: list[tuple[int, int, str]]) -> Layer:
     """The layer with spans replaced; a replacement's characters share the span's place."""
@@ -92,16 +184,54 @@ def _unescape(m: re.Match) -> str:
     return units.decode("utf-16-be", "replace")
 
 
-def _inflated(data: bytes) -> bytes | None:
-    """Contents of gzip or zlib data, or None."""
-    if data[:2] != b"\x1f\x8b" and not (len(data) > 2 and data[0] & 15 == 8 and (data[0] * 256 + data[1]) % 31 == 0):
-        return None
-    try:
-        unpack = zlib.decompressobj(47)
-        out = unpack.decompress(data, MAX_LAYER + 1)
-        return out if unpack.eof and len(out) <= MAX_LAYER else None
-    except zlib.error:
-        return None
+class Spool:
+    """Bytes written one after another; more than MAX_LAYER of them go to a temporary file."""
+
+    def __init__(self):
+        self.file, self.size = tempfile.SpooledTemporaryFile(MAX_LAYER), 0
+
+    def write(self, data: bytes) -> None:
+        self.size += self.file.write(data)
+
+    def copy(self, data: bytes | mmap.mmap, a: int, b: int) -> None:
+        for i in range(a, b, 1 << 20):
+            self.write(data[i : min(i + (1 << 20), b)])
+
+    def contents(self) -> bytes | mmap.mmap:
+        with self.file as file:
+            if self.size > MAX_LAYER:
+                file.flush()
+                return mmap.mmap(file.fileno(), self.size, access=mmap.ACCESS_READ)
+            file.seek(0)
+            return file.read()
+
+
+def _members(data: bytes | mmap.mmap, at: int):
+    """Contents of the zlib stream, or of all gzip members in a row, that begins at a place;
+    the place after the last whole one; and whether the data ended or broke inside one."""
+    out, whole = Spool(), at
+    while True:
+        unpack, step = zlib.decompressobj(47), 1 << 10
+        try:
+            while not unpack.eof and at < len(data):
+                part = data[at : at + step]
+                at, step = at + len(part), 1 << 16
+                while True:
+                    out.write(unpack.decompress(part, 1 << 20))
+                    part = unpack.unconsumed_tail
+                    if unpack.eof or not part:
+                        break
+            while not unpack.eof and (more := unpack.decompress(b"", 1 << 20)):
+                out.write(more)
+        except zlib.error:
+            return out.contents(), whole, True
+        if not unpack.eof:
+            return out.contents(), whole, True
+        at = whole = at - len(unpack.unused_data)
+        while data[at : at + 1] == b"\0":
+            at += 1
+        if data[at : at + 3] != b"\x1f\x8b\x08":
+            return out.contents(), whole, False
 
 
 def _readable(data: bytes) -> str | None:
@@ -117,16 +247,14 @@ def _base64_layers(layer: Layer):
         run = m[0].rstrip("=").translate({45: 43, 95: 47})
         run = run[: len(run) - (len(run) % 4 == 1)]
         data = base64.b64decode(run + "=" * (-len(run) % 4))
-        packed = False
-        while (inner := _inflated(data)) is not None and inner != data:
-            data, packed = inner, True
+        if ZLIB.match(data):
+            inner, _, broken = _members(data, 0)
+            yield Packed(inner, *layer.span(*m.span()))
+            if not broken:
+                continue
         text = _readable(data)
         if text is None:
             continue
-        if packed:
-            a, b = layer.span(*m.span())
-            yield Layer(text, np.full(len(text), a), np.full(len(text), b))
-            continue
         size = np.fromiter((len(c.encode()) for c in text), np.int64, len(text))
         stop = np.cumsum(size)
         begin = m.start() + (stop - size) * 4 // 3
@@ -137,7 +265,7 @@ def _base64_layers(layer: Layer):
 
 
 def unwrap(layer: Layer):
-    """The layers directly inside a layer."""
+    """The layers directly inside a layer of text."""
     text = layer.text
     if "%" in text and (found := [(*m.span(), bytes.fromhex(m[0].replace("%", "")).decode("utf-8", "replace")) for m in PERCENT.finditer(text)]):
         yield _rewritten(layer, found)
@@ -152,13 +280,14 @@ def find_secrets(text: str, may_hex: bool = True, may_nest: bool = True):
     base = scan(text, may_hex)
     if not may_nest:
         return order(base), order(base)
-    every, seen, todo = set(base), {text}, deque([Layer(text)])
+    whole = Layer(text)
+    every, seen, todo = set(base), {whole.key()}, deque([whole])
     while todo:
-        for inner in unwrap(todo.popleft()):
-            if inner.text not in seen:
-                seen.add(inner.text)
+        for inner in todo.popleft().unwrap():
+            if (key := inner.key()) not in seen:
+                seen.add(key)
                 todo.append(inner)
-                every.update((kind, *inner.span(a, b)) for kind, a, b in scan(inner.text))
+                every.update(inner.scan())
     return order(base), order(every)
 
 
