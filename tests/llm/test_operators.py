@@ -384,16 +384,16 @@ def test_secrets_unwrapped_layers(spark, docs):
 def test_secrets_in_every_gzip_member_and_large_layers(monkeypatch):
     import base64
 
-    plain, size = b"password = hunter2hunter2", 3 << 20
+    plain, size = b"password = hunter2hunter2", 1 << 18
     coded = lambda data: base64.b64encode(data).decode()
     late = gzip.compress(b"first ") + gzip.compress(b"second pass") + b"\0" * 8 + gzip.compress(plain[4:])
     long = random.Random(5).randbytes(size).hex().replace("a", " ").encode()
-    for limit in (secrets.MAX_LAYER, 1 << 20):
+    for limit in (secrets.MAX_LAYER, 1 << 17):
         monkeypatch.setattr(secrets, "MAX_LAYER", limit)
         for data in (
             late,
             gzip.compress(b"a" * size + b" " + plain),
-            gzip.compress(b" " * (limit + 1 - 12) + plain + b" " * size, 1),
+            gzip.compress(b" " * ((1 << 17) - 12) + plain + b" " * size, 1),
             gzip.compress(gzip.compress(b"\n" * size + base64.b64encode(zlib.compress(plain + b"!" * size)))),
             gzip.compress(b"," * size + "".join(f"%{c:02x}" for c in plain).encode()),
             gzip.compress(b"," * size + "".join(f"\\u{c:04x}" for c in plain).encode()),
@@ -406,6 +406,39 @@ def test_secrets_in_every_gzip_member_and_large_layers(monkeypatch):
         assert secrets.find_secrets(text)[1] == []
 
 
+def test_secrets_in_base64_at_any_place():
+    import base64
+
+    plain = b"my password = hunter2hunter2 ok"
+    for data in (plain, gzip.compress(plain), zlib.compress(plain)):
+        coded = base64.b64encode(data).decode()
+        for before in ("", "a", "ab", "abc", "https://host/", "https://host/ab/", "key-", "k_", "é:"):
+            text = f"go {before}{coded} end"
+            found = secrets.find_secrets(text)[1]
+            assert [k for k, _, _ in found] == ["assign"], text
+            inner = 3 if data is plain else 0
+            a = text.index(coded) + inner * 4 // 3
+            assert found[0] == ("assign", a, text.index(coded) + 38 if data is plain else len(text) - 4)
+        assert len(secrets.find_secrets(f"{coded} and {coded}")[1]) == 2
+        for width in (5, 10, 20, 38):
+            for end in ("\n", "\r\n", "\n  "):
+                text = f"body:\n{end.join(coded[i : i + width] for i in range(0, len(coded), width))}\n!"
+                (kind, a, b), = secrets.find_secrets(text)[1]
+                want = coded[4:38] if data is plain else coded
+                assert kind == "assign" and re.sub(r"\s", "", text[a:b]) == want
+    mixed = base64.b64encode(b"\xff\x00\x01" + plain + b"\xfe\xff\x00").decode()
+    assert [k for k, _, _ in secrets.find_secrets(mixed)[1]] == ["assign"]
+    deep = base64.b64encode(gzip.compress(f"see /a/{base64.encodebytes(plain * 3).decode()}".encode())).decode()
+    assert secrets.find_secrets(deep)[1] == [("assign", 0, len(deep))]
+
+
+def test_secrets_in_wrapped_base64_of_documents(spark):
+    text = "x:\ncGFz\nc3dvcm\nQ9aHVu\ndGVyMmh1\nbnRlcjI=\n!"
+    rows = [(1, text), (2, text.replace("\n", " \n ")), (3, text.replace("\n", "\t\r\n"))]
+    for r in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string"), redact=True).collect():
+        assert [s.kind for s in r.secrets] == ["assign"] and "dGVy" not in r.redacted
+
+
 # --- WARC ----------------------------------------------------------------------
 
 

@@ -1,10 +1,11 @@
 """Secret scans with a recursive decoding worklist.
 
 A text is a layer. Each layer is scanned, then unwrapped: percent escapes, Unicode and
-character-reference escapes, runs of base64, and gzip or zlib data inside those. Each
+character-reference escapes, runs of base64 at all four alignments (line ends do not break
+a run, unreadable bytes are left out), and gzip or zlib data anywhere inside those. Each
 result is a new layer on the worklist, with the place in the original text that every one
-of its characters stands for. A layer that was seen before in the same document is not
-taken again, which ends cycles; the work stops when no new layer appears.
+of its characters stands for. A layer that was seen before at the same place is not taken
+again, which ends cycles; the work stops when no new layer appears.
 
 Spans count code points of the original text. A null or empty text has none. Rows are
 scanned by themselves, so repeated rows get equal results.
@@ -46,7 +47,14 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\u\{([0-9A-Fa-f]{1,6})\}|\\x([0-9A-Fa-f]{2})|&#(\d{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
-BASE64 = re.compile(rf"[A-Za-z0-9+/_-]{{{MIN_BASE64},}}={{0,2}}")
+_DIGIT = "[A-Za-z0-9+/_-]"
+#: Runs of base64 digits, joined where only line ends (and blanks around them) break them.
+BASE64 = re.compile(rf"(?<!{_DIGIT})(?:{_DIGIT}{{{MIN_BASE64},}}+|{_DIGIT}++(?=[ \t]*[\r\n]))(?:[ \t]*+[\r\n][ \t\r\n]*+{_DIGIT}++)*+={{0,2}}")
+#: Readable text; no secret and no base64 of one is shorter, and all are ASCII.
+STRETCH = re.compile(r"[^\x00-\x08\x0e-\x1f\x7f\udc80-\udcff]{12,}")
+ASCII_STRETCH = re.compile(r"[\t\n\r\x20-\x7e]{12}")
+ASCII_STRETCH_B = re.compile(ASCII_STRETCH.pattern.encode())
+INDENTED = re.compile(rb"[ \t][\r\n]|[\r\n][ \t]")
 
 #: The same patterns on UTF-8; long runs are taken without memory for going back.
 ASSIGN_B, ACCESS_B, HEX_B, BASE64_B = (re.compile(x.pattern.encode()) for x in (ASSIGN, ACCESS, HEX, BASE64))
@@ -56,8 +64,9 @@ ZLIB = re.compile(b"\x1f\x8b\x08|" + b"|".join(re.escape(bytes((a, b))) for a in
 
 HEX_BYTES = np.zeros(256, bool)
 HEX_BYTES[list(b"0123456789abcdef")] = True
+#: Line ends too, as they do not end a run.
 BASE64_BYTES = np.zeros(256, bool)
-BASE64_BYTES[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")] = True
+BASE64_BYTES[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-\r\n")] = True
 
 
 def scan(text: str, may_hex: bool = True) -> list[tuple[str, int, int]]:
@@ -81,8 +90,8 @@ class Layer:
     def span(self, a: int, b: int) -> tuple[int, int]:
         return (a, b) if self.begin is None else (int(self.begin[a]), int(self.end[b - 1]))
 
-    def key(self):
-        return self.text
+    def key(self) -> tuple:
+        return self.text, *self.span(0, len(self.text))
 
     def scan(self) -> set[tuple[str, int, int]]:
         return {(kind, *self.span(a, b)) for kind, a, b in scan(self.text)}
@@ -121,9 +130,11 @@ class Packed:
         if ESCAPE_B.search(data):
             yield self._rewritten(ESCAPE_B, 6, lambda x: ESCAPE.sub(_unescape, x.decode()).encode("utf-8", "replace"))
         for m in BASE64_B.finditer(data):
-            yield self._made(_decoded(_letters(data, *m.span())))
-        if ZLIB.match(data):
-            yield self._made(_members(data, 0)[0])
+            if m.end() - m.start() >= MIN_BASE64:
+                for skip in range(4):
+                    yield self._made(_decoded(_letters(data, *m.span()), skip))
+        for _, _, inner, _ in _streams(data):
+            yield self._made(inner)
 
     def _made(self, data) -> Packed:
         return Packed(data, self.begin, self.end)
@@ -145,14 +156,15 @@ TO_PLAIN = bytes.maketrans(b"-_", b"+/")
 def _letters(data: bytes | mmap.mmap, a: int, b: int):
     """Base64 digits of data[a:b] in blocks."""
     for i in range(a, b, 1 << 20):
-        yield data[i : min(i + (1 << 20), b)].translate(TO_PLAIN, b"=")
+        yield data[i : min(i + (1 << 20), b)].translate(TO_PLAIN, b"= \t\r\n")
 
 
-def _decoded(blocks) -> bytes | mmap.mmap:
-    """Bytes of base64 digits."""
+def _decoded(blocks, skip: int) -> bytes | mmap.mmap:
+    """Bytes of base64 digits after the first few."""
     out, rest = Spool(), b""
     for block in blocks:
-        rest += block
+        rest += block[skip:]
+        skip = max(0, skip - len(block))
         n = len(rest) & ~3
         out.write(base64.b64decode(rest[:n]))
         rest = rest[n:]
@@ -234,34 +246,59 @@ def _members(data: bytes | mmap.mmap, at: int):
             return out.contents(), whole, False
 
 
-def _readable(data: bytes) -> str | None:
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if text and not re.search(r"[\x00-\x08\x0e-\x1f\x7f]", text) else None
+def _streams(data: bytes | mmap.mmap):
+    """Start, end and contents of all compressed data, and whether it is whole."""
+    at = 0
+    while m := ZLIB.search(data, at):
+        begin = m.start()
+        inner, at, broken = _members(data, begin)
+        if not broken:
+            yield begin, at, inner, True
+        else:
+            # What came before the break counts, unless the place only looked like a header.
+            if at > begin or ASCII_STRETCH_B.search(inner) or inner[:3] == b"\x1f\x8b\x08":
+                yield begin, len(data), inner, False
+            at = max(at, begin + 1)
 
 
 def _base64_layers(layer: Layer):
+    """Layers in base64. A payload may begin at any digit of a run, after a letter or ``/``
+    as well; the four alignments of the run hold the bytes of each."""
     for m in BASE64.finditer(layer.text):
-        run = m[0].rstrip("=").translate({45: 43, 95: 47})
-        run = run[: len(run) - (len(run) % 4 == 1)]
-        data = base64.b64decode(run + "=" * (-len(run) % 4))
-        if ZLIB.match(data):
-            inner, _, broken = _members(data, 0)
-            yield Packed(inner, *layer.span(*m.span()))
-            if not broken:
-                continue
-        text = _readable(data)
-        if text is None:
+        if m.end() - m.start() < MIN_BASE64:
+            continue
+        run = m[0].rstrip("=").encode()
+        letters = run.translate(TO_PLAIN, b" \t\r\n")
+        if len(letters) < MIN_BASE64:
             continue
-        size = np.fromiter((len(c.encode()) for c in text), np.int64, len(text))
-        stop = np.cumsum(size)
-        begin = m.start() + (stop - size) * 4 // 3
-        end = np.minimum(m.start() + -(-stop * 4 // 3), m.end())
-        if layer.begin is not None:
-            begin, end = layer.begin[begin], layer.end[end - 1]
-        yield Layer(text, begin, end)
+        places = m.start() + (
+            np.arange(len(run)) if len(letters) == len(run) else np.flatnonzero(~np.isin(np.frombuffer(run, np.uint8), list(b" \t\r\n")))
+        )
+        for skip in range(4):
+            yield from _layers_of_run(layer, _decoded([letters], skip), places[skip:], m.end())
+
+
+def _layers_of_run(layer: Layer, data: bytes | mmap.mmap, places: np.ndarray, stop: int):
+    """Layers in decoded data whose digits are at some places; padding ends at ``stop``."""
+    gaps, at = [], 0
+    for a, b, inner, whole in _streams(data):
+        end = stop if b == len(data) else int(places[-(-b * 4 // 3) - 1]) + 1
+        yield Packed(inner, *layer.span(int(places[a * 4 // 3]), end))
+        if whole:
+            gaps.append((at, a))
+            at = b
+    for a, b in [*gaps, (at, len(data))]:
+        text = data[a:b].decode("utf-8", "surrogateescape")
+        for m in STRETCH.finditer(text):
+            if ASCII_STRETCH.search(m[0]):
+                first = a + len(text[: m.start()].encode("utf-8", "surrogateescape"))
+                code = np.frombuffer(m[0].encode("utf-32-le"), np.uint32)
+                size = 1 + (code >= 0x80).astype(np.int64) + (code >= 0x800) + (code >= 0x10000)
+                last = first + np.cumsum(size)
+                begin, end = places[(last - size) * 4 // 3], places[-(-last * 4 // 3) - 1] + 1
+                if layer.begin is not None:
+                    begin, end = layer.begin[begin], layer.end[end - 1]
+                yield Layer(m[0], begin, end)
 
 
 def unwrap(layer: Layer):
@@ -319,7 +356,7 @@ def scan_secrets(docs: DataFrame, keep: list[str] | None = None, redact: bool =
             out = {f.name: [] for f in added.fields}
             for d in range(n):
                 part = raw[at[d] : at[d + 1]]
-                nested = bool(nests[d]) or b"%" in part or b"\\" in part or b"&#" in part
+                nested = bool(nests[d]) or INDENTED.search(part) is not None or b"%" in part or b"\\" in part or b"&#" in part
                 text = part.decode()
                 base, every = find_secrets(text, bool(hexes[d]), nested)
                 out["base"].append([dict(zip(SPAN.names, x)) for x in base])
