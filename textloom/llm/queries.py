@@ -226,3 +226,45 @@ def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("removed").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query
+def op11_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text encoded in fragments between forced cuts, and decoded from its ids."""
+    import public_tokenizers
+
+    from textloom.llm.wordbpe import decode, encode
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    back = decode(encode(docs, path, keep=["doc_id"]), path, keep=["doc_id", "ids"])
+    return back.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of two tokenizers linked in every whole text, scored by the links of the corpus."""
+    import public_tokenizers
+
+    from textloom.llm.align import align, link_counts, score
+    from textloom.sources.tables import checkpoint
+
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    aligned = checkpoint(align(docs, *paths, keep=["doc_id"]).withColumn("groups_sha256", digest).drop("groups"))
+    found = score(aligned, link_counts(aligned))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+@query
+def op13_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding on the four leading components, scaled to unit variance."""
+    from textloom.llm.whiten import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), 4)
