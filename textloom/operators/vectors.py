@@ -18,7 +18,7 @@ documents are copies of one costs no more than its distinct documents.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -203,13 +203,8 @@ def _row_steps(rows: int, columns: int) -> Iterator[slice]:
         yield slice(start, start + step)
 
 
-def _nearest_pairs(queries: DataFrame, targets: DataFrame, n: int, sign: int = 1) -> DataFrame:
-    """``(q, t, sim)``: for each query its ``n`` best other targets, ties by target id.
-
-    With ``sign=-1`` the queries are negated vectors and ``sim`` is the cosine of the
-    original ones, so the best are the least similar.
-    """
-    id_type = queries.schema["id"].dataType.simpleString()
+def best_targets(n: int, sign: int = 1):
+    """A kernel: for each query of a block its ``n`` best other targets, ties by target id."""
     scale = 10**DIGITS
 
     def kernel(q_ids, q, t_ids, t):
@@ -232,9 +227,19 @@ def _nearest_pairs(queries: DataFrame, targets: DataFrame, n: int, sign: int = 1
             )
         return pd.concat(found)
 
+    return kernel
+
+
+def _nearest_pairs(queries: DataFrame, targets: DataFrame, n: int, sign: int = 1) -> DataFrame:
+    """``(q, t, sim)``: for each query its ``n`` best other targets, ties by target id.
+
+    With ``sign=-1`` the queries are negated vectors and ``sim`` is the cosine of the
+    original ones, so the best are the least similar.
+    """
+    id_type = queries.schema["id"].dataType.simpleString()
     schema = f"q {id_type}, t {id_type}, sim double"
     # One target more than asked for: a query may meet itself.
-    pairs = _blocked(queries, targets, kernel, schema, nearest=n + 1)
+    pairs = _blocked(queries, targets, best_targets(n, sign), schema, nearest=n + 1)
     by_query = Window.partitionBy("q").orderBy((F.col("sim") * sign).desc(), "t")
     ranked = pairs.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= n)
     return ranked.select("q", "t", "sim")
@@ -281,6 +286,18 @@ def top_similar(vecs: DataFrame, n: int = 5) -> DataFrame:
     its own neighbour, and with fewer than ``n`` others there are fewer rows. Scores
     are rounded to six decimals before ranking.
     """
+    return similar_by(vecs, n, _nearest_pairs)
+
+
+def similar_by(
+    vecs: DataFrame, n: int, nearest: Callable[[DataFrame, DataFrame, int], DataFrame], wanted: Column | None = None
+) -> DataFrame:
+    """``top_similar`` with a way to find nearest pairs of different vectors.
+
+    ``nearest(queries, targets, n)`` joins tables ``(id, vec)`` to ``(q, t, sim)``.
+    ``wanted``, a condition on ``doc_id``, limits the documents that ask, not those that
+    are found.
+    """
     units = _units(vecs).persist()
     # The first n + 1 of a group of copies are all that can be a neighbour of anything.
     in_group = Window.partitionBy("vec").orderBy("doc_id")
@@ -291,7 +308,9 @@ def top_similar(vecs: DataFrame, n: int = 5) -> DataFrame:
 
     reps = groups.select("id", "vec")
     points = _padded(reps)
-    others = _nearest_pairs(points, points, n)
+    asking = units if wanted is None else units.where(wanted)
+    asked = points if wanted is None else points.join(asking.join(reps, "vec").select("id").distinct(), "id", "left_semi")
+    others = nearest(asked, points, n)
     own = groups.select(
         F.col("id").alias("q"), F.col("id").alias("t"), F.round(dot(F.col("vec"), F.col("vec")), DIGITS).alias("sim")
     )
@@ -306,7 +325,7 @@ def top_similar(vecs: DataFrame, n: int = 5) -> DataFrame:
     # At most n + 1 entries per representative are gathered here.
     near = near.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("r", "doc", "sim"))).alias("near"))
 
-    rep_of = units.join(reps, "vec").select("doc_id", F.col("id").alias("q"))
+    rep_of = asking.join(reps, "vec").select("doc_id", F.col("id").alias("q"))
     matched = rep_of.join(near, "q")
     listed = F.slice(F.filter("near", lambda x: x["doc"] != F.col("doc_id")), 1, n)
     rows = matched.select("doc_id", F.posexplode_outer(listed).alias("pos", "x")).where("pos is not null")

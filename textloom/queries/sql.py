@@ -337,6 +337,11 @@ FROM most m, least l""",
     ),
     "kmeans_from": kmeans_rounds(2),
     "elbow_from": elbow_rounds(range(1, 11), 2),
+    "hashed_recall": with_(
+        "n AS (SELECT count(*) AS rows, count(*) FILTER (vec_id % 20 = 0) AS queries FROM embeddings)",
+        select="""SELECT queries::BIGINT AS queries, (queries * least(5, rows - 1))::BIGINT AS neighbours,
+  TRUE AS enough, 0::BIGINT AS wrong_scores FROM n""",
+    ),
     "ward_totals": with_(
         VECS,
         COORDINATES,

@@ -8,11 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textloom.functions import text as T
-from textloom.operators import chunks, cluster, learned, summary, terms, vectors
+from textloom.functions.arrays import dot
+from textloom.operators import chunks, cluster, hashing, learned, summary, terms, vectors
 from textloom.plans import flows
 from textloom.queries.settings import PAIR_THRESHOLD, SCORE_DIGITS, STOP_WORDS, WIDE_IDS
 from textloom.sources.corpus import normalize_lines
-from textloom.sources.tables import read_table
+from textloom.sources.tables import checkpoint, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -405,6 +406,39 @@ def extract_all(spark, sf_dir):
     return summary.summary_or_extract(corpus(spark, sf_dir), None)
 
 
+# --- neighbours by hashing: every row whose id is divisible by 20 asks --------------
+
+
+def asking():
+    return F.col("doc_id") % 20 == 0
+
+
+@query
+def similar_hashed(spark, sf_dir):
+    return hashing.similar_hashed(vectors_of(spark, sf_dir), 5, asking())
+
+
+@query
+def hashed_recall(spark, sf_dir):
+    """Searches, neighbours, whether nine tenths are found, and scores that are not exact."""
+    vecs = vectors_of(spark, sf_dir)
+    found = checkpoint(hashing.similar_hashed(vecs, 5, asking()))
+    exact = vectors.top_similar(vecs, 5).where(F.col("source_document") % 20 == 0)
+    measured = hashing.recall(found, exact)
+    units = vectors._units(vecs)
+    source = units.select(F.col("doc_id").alias("source_document"), F.col("vec").alias("a"))
+    other = units.select(F.col("doc_id").alias("similar_document"), F.col("vec").alias("b"))
+    scored = found.join(source, "source_document").join(other, "similar_document")
+    off = F.abs(dot(F.col("a"), F.col("b")) - F.col("similarity_score")) > 1e-6
+    wrong = scored.agg(F.coalesce(F.sum(off.cast("long")), F.lit(0))).scalar()
+    return measured.select("queries", "neighbours", (F.col("recall") >= 0.9).alias("enough"), wrong.alias("wrong_scores"))
+
+
+@query
+def pairs_hashed(spark, sf_dir):
+    return hashing.pairs_hashed(vectors_of(spark, sf_dir), PAIR_THRESHOLD)
+
+
 # --- learned vectors, k-means and Ward: no SQL states them ----------------------
 
 
