@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.operators import cluster
+from textloom.operators import cluster, ward
 
 
 def frame(spark, points, ids=None, **columns):
@@ -54,9 +54,9 @@ def same_partition(found, expected):
     return sorted(map(sorted, groups.values())) == sorted(map(sorted, expected))
 
 
-@pytest.mark.parametrize("finish", [256, 8])
-def test_ward_equals_one_merge_at_a_time(spark, monkeypatch, finish):
-    monkeypatch.setattr(cluster, "FINISH_ROWS", finish)
+@pytest.mark.parametrize("rows", [1 << 14, 4])
+def test_ward_equals_one_merge_at_a_time(spark, monkeypatch, rows):
+    monkeypatch.setattr(ward, "BROADCAST_ROWS", rows)
     points = np.random.default_rng(1).normal(size=(30, 3))
     tree = [r.asDict() for r in cluster.ward_linkage(frame(spark, points)).orderBy("step").collect()]
     merges = greedy_ward(points)
@@ -69,8 +69,9 @@ def test_ward_equals_one_merge_at_a_time(spark, monkeypatch, finish):
         assert members[row["left"]] == set(expected)
 
 
-def test_ward_with_ties_and_text_keys(spark, monkeypatch):
-    monkeypatch.setattr(cluster, "FINISH_ROWS", 2)
+@pytest.mark.parametrize("rows", [1 << 14, 2])
+def test_ward_with_ties_and_text_keys(spark, monkeypatch, rows):
+    monkeypatch.setattr(ward, "BROADCAST_ROWS", rows)
     points = [[0, 0], [0, 1], [0, 2], [0, 3], [10, 0], [10, 0], [10, 0]]
     ids = [f"d{i}.txt" for i in range(7)]
     tree = cluster.ward_linkage(frame(spark, points, ids)).orderBy("step").collect()
@@ -80,6 +81,36 @@ def test_ward_with_ties_and_text_keys(spark, monkeypatch):
     assert np.allclose([r.height for r in tree], [h for h, _ in greedy_ward(points)])
 
 
+def test_ward_with_many_equal_distances(spark, monkeypatch):
+    """On a grid nearly all heights are ties; every path must end with a full tree."""
+    points = [[x, y] for x in range(4) for y in range(4)]
+    for rows in (1 << 14, 3):
+        monkeypatch.setattr(ward, "BROADCAST_ROWS", rows)
+        tree = cluster.ward_linkage(frame(spark, points)).collect()
+        assert len(tree) == 15 and max(r["size"] for r in tree) == 16
+        total = ((np.array(points) - np.mean(points, axis=0)) ** 2).sum()
+        assert sum(r.height**2 / 2 for r in tree) == pytest.approx(total)
+        assert [r.height for r in sorted(tree, key=lambda r: r.step)] == sorted(r.height for r in tree)
+
+
+def test_only_clusters_that_lost_their_nearest_are_scored(spark, monkeypatch):
+    points, _ = planted(groups=5, each=10)
+    asked, score = [], ward._score_places
+    monkeypatch.setattr(ward, "_score_places", lambda s, asking, alive, *a: (asked.append((len(asking), len(alive))), score(s, asking, alive, *a)))
+    cluster.ward_linkage(frame(spark, points)).collect()
+    assert asked[0] == (50, 50) and any(a < n for a, n in asked) and sum(a for a, _ in asked) < sum(n for _, n in asked)
+
+
+def test_cells_find_what_all_pairs_give(spark):
+    """Cells and their limits change nothing of what is found."""
+    points, _ = planted(groups=6, each=60)
+    block = ward._nearest_in_block
+    active = frame(spark, points).select(F.col("doc_id").alias("id"), "vec", F.lit(1).cast("long").alias("size")).persist()
+    found = {r.id: r for r in ward._scored(active, active, "bigint").collect()}
+    whole = block(*[active.toPandas()] * 2)
+    assert {r.id: (r.left, r.right, r.height) for r in whole.itertuples()} == {i: (r.left, r.right, r.height) for i, r in found.items()}
+
+
 @pytest.fixture(scope="module")
 def planted_tree(spark):
     points, labels = planted()

@@ -18,11 +18,11 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window, functions as F
 
-from textloom.operators.vectors import BLOCK_ROWS, DIGITS, _row_steps, _stack, finite
+from textloom.operators.vectors import BLOCK_ROWS, DIGITS, _row_steps, _stack
+from textloom.operators.ward import ward_linkage as ward_linkage
 from textloom.sources.tables import checkpoint, numbered
 
 MAX_K = 10
-FINISH_ROWS = 256
 
 
 # --- k-means --------------------------------------------------------------------
@@ -287,186 +287,7 @@ def cluster_cloud(keywords: DataFrame) -> DataFrame:
     )
 
 
-# --- Ward ---------------------------------------------------------------------------
-
-
-def ward_linkage(vecs: DataFrame, sizes: str | None = None) -> DataFrame:
-    """Ward's merge tree: ``(step, left, right, height, size)``, ``n - 1`` rows.
-
-    A cluster goes by its first document: ``right`` joins ``left``, and the result is
-    again ``left``. ``height`` is Euclidean, ``sqrt(2nm / (n + m)) * |c1 - c2|``.
-
-    Every round merges all pairs of clusters that are each other's nearest. Ward's
-    distance is reducible, so these are the merges the one-at-a-time algorithm makes,
-    in a few dozen rounds instead of ``n - 1``. Nearest clusters are found in blocks of
-    bounded size, and identical vectors are merged beforehand; the last ``FINISH_ROWS``
-    clusters go through their rounds in one task, as a job each would be all overhead. Exact for any number of vectors, at a cost that grows with its
-    square: for a large corpus pass the centres of ``micro_clusters`` with ``sizes``
-    naming the column that says how many documents each stands for.
-    """
-    points = vecs.select(
-        F.col("doc_id").alias("id"),
-        finite(F.col("vec").cast("array<double>")).alias("vec"),
-        (F.lit(1) if sizes is None else F.col(sizes)).cast("long").alias("size"),
-    )
-    id_type = points.schema["id"].dataType.simpleString()
-    merges = vecs.sparkSession.createDataFrame(
-        [], f"left {id_type}, right {id_type}, height double, size bigint, turn int"
-    )
-    if sizes is None:
-        distinct = points.groupBy("vec").agg(F.min("id").alias("left"), F.count("*").alias("size"))
-        active = checkpoint(distinct.select(F.col("left").alias("id"), "vec", "size"))
-        merges = merges.unionByName(_merge_copies(points, active))
-    else:
-        active = checkpoint(points)
-    turn = 0
-    while (remaining := active.count()) > FINISH_ROWS:
-        turn += 1
-        after = checkpoint(_merge_mutual(_nearest_clusters(active, remaining, id_type)))
-        merged = after.where(F.col("right").isNotNull())
-        if merged.isEmpty():
-            raise ValueError("no clusters are each other's nearest: distances overflow")
-        merges = merges.unionByName(
-            merged.select(F.col("id").alias("left"), "right", "height", "size", F.lit(turn).alias("turn"))
-        )
-        active = after.select("id", "vec", "size")
-    merges = checkpoint(merges.unionByName(_merge_rest(active, turn, merges.schema)))
-    ordered = merges.orderBy("height", "turn", "left", "right").drop("turn")
-    return numbered(ordered, "step").select(F.col("step").cast("int"), "left", "right", "height", "size")
-
-
-def _merge_copies(points: DataFrame, distinct: DataFrame) -> DataFrame:
-    """Merges of identical vectors, at height 0: each copy joins the first document."""
-    first = distinct.select("vec", F.col("id").alias("left"))
-    copies = points.join(first, "vec").where(F.col("id") != F.col("left"))
-    ranked = numbered(copies.select("left", F.col("id").alias("right")).orderBy("left", "right"), "at")
-    start = ranked.groupBy("left").agg(F.min("at").alias("start"))
-    return ranked.join(start, "left").select(
-        "left",
-        "right",
-        F.lit(0.0).alias("height"),
-        (F.col("at") - F.col("start") + 2).alias("size"),
-        F.lit(0).alias("turn"),
-    )
-
-
-def _merge_mutual(nearest: DataFrame) -> DataFrame:
-    """Clusters after a round; ``right`` and ``height`` are set where two were merged.
-
-    A pair is named by its two clusters at most, so a group has one or two members: two
-    when they chose each other, one that stays as it is otherwise.
-    """
-    member = F.struct("id", "size", "vec")
-    pairs = nearest.groupBy("left", "right", "height")
-    pairs = pairs.agg(F.sort_array(F.collect_list(member)).alias("m"))
-    a, b, mutual = F.get("m", F.lit(0)), F.get("m", F.lit(1)), F.size("m") == 2
-    size = a["size"] + b["size"]
-    centre = F.zip_with(a["vec"], b["vec"], lambda x, y: (x * a["size"] + y * b["size"]) / size)
-    return pairs.select(
-        a["id"].alias("id"),
-        F.when(mutual, centre).otherwise(a["vec"]).alias("vec"),
-        F.when(mutual, size).otherwise(a["size"]).alias("size"),
-        F.when(mutual, F.col("right")).alias("right"),
-        F.when(mutual, F.col("height")).alias("height"),
-    )
-
-
-def _nearest_clusters(active: DataFrame, rows: int, id_type: str) -> DataFrame:
-    """Each cluster with its nearest, ``(id, size, vec, left, right, height)``.
-
-    Ties go by the ids of the pair.
-    """
-    blocks = math.ceil(rows / BLOCK_ROWS)
-    cores = active.sparkSession.sparkContext.defaultParallelism
-    blocks = max(blocks, min(math.isqrt(cores), rows // 512), 1)
-    schema = f"id {id_type}, size bigint, vec array<double>, left {id_type}, right {id_type}, height double"
-
-    def score(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return _nearest_in_block(a, b.rename(columns={"t_id": "id", "t_vec": "vec", "t_size": "size"}))
-
-    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    a = active.withColumn("p", block).withColumn("q", every)
-    b = active.select(
-        F.col("id").alias("t_id"), F.col("vec").alias("t_vec"), F.col("size").alias("t_size"), block.alias("q")
-    ).withColumn("p", every)
-    scored = a.groupBy("p", "q").cogroup(b.groupBy("p", "q")).applyInPandas(score, schema)
-    # One order on pairs for all clusters: the lowest pair is then always mutual.
-    best = F.min(F.struct("height", "left", "right", "size", "vec"))
-    first = scored.groupBy("id").agg(best.alias("pair"))
-    return first.select("id", "pair.size", "pair.vec", "pair.left", "pair.right", "pair.height")
-
-
-def _nearest_in_block(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-    """For each cluster of ``a`` its nearest in ``b``; both are ``(id, size, vec)``."""
-    found = [pd.DataFrame({c: [] for c in ("id", "size", "vec", "left", "right", "height")})]
-    if not len(a) or not len(b):
-        return found[0]
-    b = b.sort_values("id", kind="stable")
-    ids, others = a["id"].to_numpy(), b["id"].to_numpy()
-    q, t = _stack(a["vec"]), _stack(b["vec"])
-    n, m = a["size"].to_numpy(float), b["size"].to_numpy(float)
-    for part in _row_steps(len(q), len(t)):
-        norms = (q[part] ** 2).sum(1)[:, None] + (t**2).sum(1)[None, :]
-        factor = 2.0 * n[part][:, None] * m[None, :] / (n[part][:, None] + m[None, :])
-        ward = factor * (norms - 2.0 * q[part] @ t.T)
-        ward[ids[part][:, None] == others[None, :]] = np.inf
-        # The product is off by rounding, and not alike from both sides. What may be
-        # nearest is computed again from differences, which are alike.
-        error = factor * norms * 1e-11
-        row, col = np.nonzero(ward - error <= (ward + error).min(axis=1)[:, None])
-        real = np.isfinite(ward[row, col])
-        row, col = row[real], col[real]
-        apart = np.empty(len(row))
-        for some in _row_steps(len(row), q.shape[1]):
-            apart[some] = ((q[part][row[some]] - t[col[some]]) ** 2).sum(axis=1)
-        height = np.sqrt(factor[row, col] * apart)
-        # Targets are sorted, so of equal heights the smallest id comes first.
-        order = np.lexsort((col, height, row))
-        order = order[np.unique(row[order], return_index=True)[1]]
-        own = a.iloc[part].iloc[row[order]]
-        mine, other = ids[part][row[order]], others[col[order]]
-        swap = other < mine
-        found.append(
-            pd.DataFrame(
-                {
-                    "id": mine,
-                    "size": own["size"].to_numpy(),
-                    "vec": own["vec"].to_numpy(),
-                    "left": np.where(swap, other, mine),
-                    "right": np.where(swap, mine, other),
-                    "height": height[order],
-                }
-            )
-        )
-    return pd.concat(found[1:])
-
-
-def _merge_rest(active: DataFrame, turn: int, schema) -> DataFrame:
-    """The same rounds for the last few clusters, in one task."""
-
-    def rounds(rest: pd.DataFrame) -> pd.DataFrame:
-        merged, now = [], turn
-        clusters = {r.id: (np.asarray(r.vec), r.size) for r in rest[["id", "vec", "size"]].itertuples(index=False, name="Row")}
-        while len(clusters) > 1:
-            now += 1
-            table = pd.DataFrame(
-                {
-                    "id": list(clusters),
-                    "size": [size for _, size in clusters.values()],
-                    "vec": [vec for vec, _ in clusters.values()],
-                }
-            )
-            near = _nearest_in_block(table, table)
-            if not near.duplicated(["left", "right"]).any():
-                raise ValueError("no clusters are each other's nearest: distances overflow")
-            for pair in near[near.duplicated(["left", "right"])].itertuples(index=False):
-                (x, n), (y, m) = clusters[pair.left], clusters.pop(pair.right)
-                clusters[pair.left] = ((x * n + y * m) / (n + m), n + m)
-                merged.append((pair.left, pair.right, pair.height, n + m, now))
-        return pd.DataFrame(merged, columns=["left", "right", "height", "size", "turn"])
-
-    return active.withColumn("group", F.lit(0)).groupBy("group").applyInPandas(rounds, schema)
+# --- cuts of a Ward tree ------------------------------------------------------------
 
 
 def micro_clusters(vecs: DataFrame, k: int, seed: int = 42) -> tuple[DataFrame, DataFrame]:
