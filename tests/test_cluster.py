@@ -156,7 +156,7 @@ def test_kmeans_assigns_to_nearest_centre_and_repeats(spark):
     vecs = frame(spark, points).persist()
     fit = cluster.kmeans(vecs, 4)
     found = {r.doc_id: r.cluster for r in cluster.membership(fit, vecs).collect()}
-    centres = np.array(fit.model.clusterCenters())
+    centres = fit.centres
     nearest = ((points[:, None, :] - centres[None]) ** 2).sum(2).argmin(1)
     assert [found[i] for i in range(len(points))] == nearest.tolist()
     assert same_partition(found, [np.nonzero(labels == g)[0].tolist() for g in range(4)])

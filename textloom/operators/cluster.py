@@ -1,7 +1,7 @@
 """k-means, its quality measures, Ward's hierarchical clustering, cluster reports.
 
-Clusters are numbered from 0. The driver holds centres, model parameters and one
-number per cluster or candidate k, never rows of a table.
+Clusters are numbered from 0. The driver holds centres, one number per cluster or candidate
+k, and a sample of at most ``CORESET`` rows on which k-means starts are tried.
 """
 
 from __future__ import annotations
@@ -12,13 +12,13 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window, functions as F
 
-from textloom.operators.vectors import BLOCK_ROWS, DIGITS, _row_steps, _stack
+from textloom.operators.features import micro_clusters as micro_clusters
+from textloom.operators.vectors import BLOCK_ROWS, DIGITS, _row_steps, _stack, finite
 from textloom.operators.ward import ward_linkage as ward_linkage
 from textloom.sources.tables import checkpoint, numbered
 
@@ -28,8 +28,12 @@ MAX_K = 10
 # --- k-means --------------------------------------------------------------------
 
 
+#: Rows of the weighted sample that all starts run on; a smaller table is taken whole.
+CORESET = 8192
+
+
 class Fit(NamedTuple):
-    model: KMeansModel
+    centres: np.ndarray
     cost: float
 
 
@@ -37,29 +41,149 @@ def _features(vecs: DataFrame) -> DataFrame:
     return vecs.withColumn("features", array_to_vector(F.col("vec").cast("array<double>")))
 
 
-def kmeans(vecs: DataFrame, k: int, n_init: int = 3, seed: int = 42, max_iter: int = 50) -> Fit:
-    """The best of ``n_init`` k-means runs by within-cluster sum of squares; ``k >= 2``.
+def coreset(vecs: DataFrame, rows: int = CORESET, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """Points and weights that cost what the whole table costs, for any centres, nearly.
 
-    Cache the vectors first: every run reads them a few dozen times.
+    A row is drawn half by its share of the squared distances to the mean and half evenly
+    (Bachem et al., KDD 2018), by a hash of its id, so the draw does not depend on
+    partitions. Of rows in order of priority the first are kept, and weights make sums over
+    them unbiased. At most ``rows`` rows return to the driver; a table of no more than that
+    returns whole, each row of weight 1.
     """
-    if k < 2:
+    points = vecs.where("vec is not null").select("doc_id", finite(F.col("vec").cast("array<double>")).alias("vec"))
+    total = points.count()
+    if total > rows:
+        mean = [r.mean for r in cluster_means(points.withColumn("cluster", F.lit(0))).orderBy("dim").collect()]
+        apart = F.aggregate(F.zip_with("vec", F.array(*map(F.lit, mean)), lambda x, m: (x - m) * (x - m)), F.lit(0.0), lambda a, x: a + x)
+        far = points.withColumn("apart", apart)
+        spread = far.agg(F.sum("apart")).first()[0]
+        share = F.lit(0.5 / total) + (F.col("apart") / (2 * spread) if spread > 0 else F.lit(0.5 / total))
+        even = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+        drawn = far.withColumn("share", share).withColumn("priority", F.col("share") / even)
+        drawn = drawn.orderBy(F.desc("priority"), "doc_id").limit(rows + 1).collect()
+        least = drawn[rows].priority
+        found = [(r.vec, max(1.0, least / r.share)) for r in drawn[:rows]]
+    else:
+        found = [(r.vec, 1.0) for r in points.orderBy("doc_id").collect()]
+    return np.array([v for v, _ in found], float).reshape(len(found), -1), np.array([w for _, w in found])
+
+
+def _squared(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.maximum((points**2).sum(1)[:, None] + (centres**2).sum(1)[None, :] - 2.0 * points @ centres.T, 0.0)
+
+
+def _one_start(points: np.ndarray, weights: np.ndarray, k: int, seed: int, max_iter: int) -> tuple[float, np.ndarray]:
+    """Cost and centres of weighted k-means from a start by k-means++."""
+    random = np.random.default_rng(seed)
+    centres = points[[random.choice(len(points), p=weights / weights.sum())]]
+    nearest = _squared(points, centres)[:, 0]
+    while len(centres) < k:
+        odds = nearest * weights
+        # With fewer different points than centres the rest are copies.
+        at = random.choice(len(points), p=odds / odds.sum()) if odds.sum() > 0 else 0
+        centres = np.vstack([centres, points[at]])
+        nearest = np.minimum(nearest, _squared(points, points[[at]])[:, 0])
+    cost = math.inf
+    for _ in range(max_iter):
+        squared = _squared(points, centres)
+        own = squared.argmin(axis=1)
+        now = float((squared[np.arange(len(points)), own] * weights).sum())
+        if now >= cost * (1 - 1e-9):
+            break
+        cost = now
+        member = np.zeros((len(points), k))
+        member[np.arange(len(points)), own] = weights
+        mass = member.sum(axis=0)
+        moved = mass > 0
+        centres = centres.copy()
+        centres[moved] = (member.T @ points)[moved] / mass[moved, None]
+    return cost, centres
+
+
+def _best_starts(spark, points: np.ndarray, weights: np.ndarray, ks: Sequence[int], n_init: int, seed: int, max_iter: int) -> dict[int, np.ndarray]:
+    """The best centres for each k on a coreset; every start is a task's work."""
+    shared = spark.sparkContext.broadcast((points, weights))
+    ks = list(ks)
+
+    def run(batches):
+        for batch in batches:
+            for i in batch["id"].tolist():
+                k, start = ks[i // n_init], i % n_init
+                cost, centres = _one_start(*shared.value, k, seed + start, max_iter)
+                yield pd.DataFrame({"k": [k], "cost": [cost], "start": [start], "centres": [centres.ravel().tolist()]})
+
+    starts = spark.range(0, len(ks) * n_init, 1, min(len(ks) * n_init, 4 * spark.sparkContext.defaultParallelism))
+    found = starts.mapInPandas(run, "k int, cost double, start int, centres array<double>")
+    best = found.groupBy("k").agg(F.min(F.struct("cost", "start", "centres")).alias("best")).collect()  # one row per k
+    shared.destroy()
+    return {r.k: np.array(r.best.centres).reshape(r.k, -1) for r in best}
+
+
+def _move(vecs: DataFrame, centres: np.ndarray) -> tuple[float, np.ndarray]:
+    """Cost of centres over all rows, and the means of the rows nearest to each.
+
+    A partition sums its own rows, so a row per centre and partition is shuffled.
+    """
+
+    def sums(batches):
+        k, dim = centres.shape
+        total, mass, cost = np.zeros((k, dim)), np.zeros(k), np.zeros(k)
+        for batch in batches:
+            if len(batch):
+                points = _stack(batch["vec"]).astype(float)
+                squared = _squared(points, centres)
+                own = squared.argmin(axis=1)
+                member = (own[:, None] == np.arange(k)[None, :]).astype(float)
+                total, mass = total + member.T @ points, mass + member.sum(axis=0)
+                cost += np.bincount(own, ((points - centres[own]) ** 2).sum(axis=1), k)
+        yield pd.DataFrame({"cluster": np.arange(k), "n": mass, "cost": cost, "total": list(total)})
+
+    parts = vecs.where("vec is not null").select("vec").mapInPandas(sums, "cluster int, n double, cost double, total array<double>")
+    added = [F.sum(F.get("total", F.lit(i))).alias(f"t{i}") for i in range(centres.shape[1])]
+    after, cost = centres.copy(), 0.0
+    for r in parts.groupBy("cluster").agg(F.sum("n"), F.sum("cost"), *added).collect():  # one row per centre
+        cost += r[2]
+        if r[1] > 0:
+            after[r[0]] = np.array(r[3:]) / r[1]
+    return cost, after
+
+
+def fits(vecs: DataFrame, ks: Iterable[int], n_init: int, seed: int = 42, max_iter: int = 50) -> dict[int, Fit]:
+    """The best of ``n_init`` k-means runs for each k, by within-cluster sum of squares.
+
+    All starts run on a ``coreset``, many at a time; the best start for each k then goes on
+    over all rows until its cost falls no more, and that cost is reported.
+    """
+    ks = sorted(set(ks))
+    if ks and ks[0] < 2:
         raise ValueError("k must be at least 2; within_ss gives the cost of one cluster")
     if n_init < 1:
         raise ValueError("n_init must be at least 1")
-    points = _features(vecs)
-    best = None
-    for run in range(n_init):
-        model = KMeans(k=k, seed=seed + run, maxIter=max_iter, tol=1e-6).fit(points)
-        cost = float(model.summary.trainingCost)
-        if best is None or cost < best.cost:
-            best = Fit(model, cost)
-    return best
+    points, weights = coreset(vecs, CORESET, seed)
+    if not len(points) or not ks:
+        if ks:
+            raise ValueError("no vectors to cluster")
+        return {}
+    out = {}
+    for k, centres in _best_starts(vecs.sparkSession, points, weights, ks, n_init, seed, max_iter).items():
+        cost, after = _move(vecs, centres)
+        for _ in range(max_iter if len(points) == CORESET else 0):
+            now, moved = _move(vecs, after)
+            if now >= cost * (1 - 1e-6):
+                break
+            centres, cost, after = after, now, moved
+        out[k] = Fit(centres, cost)
+    return out
+
+
+def kmeans(vecs: DataFrame, k: int, n_init: int = 25, seed: int = 42, max_iter: int = 50) -> Fit:
+    """The best of ``n_init`` k-means runs; ``k >= 2``. See ``fits``."""
+    return fits(vecs, [k], n_init, seed, max_iter)[k]
 
 
 def membership(fit: Fit, vecs: DataFrame, *keep: str) -> DataFrame:
     """``(doc_id, cluster)`` and any columns to keep, such as a summary."""
-    assigned = fit.model.transform(_features(vecs))
-    return assigned.select("doc_id", *keep, F.col("prediction").alias("cluster"))
+    return vecs.where("vec is not null").select("doc_id", *keep, _nearest_centre(fit.centres)("vec").alias("cluster"))
 
 
 def _nearest_centre(centres: np.ndarray):
@@ -117,17 +241,14 @@ def within_ss(assigned: DataFrame) -> DataFrame:
     return spread.agg(F.count("*").cast("int").alias("k"), F.sum(total * (F.col("s.count") - 1)).alias("wss"))
 
 
-def elbow(vecs: DataFrame, ks: Iterable[int] = range(1, MAX_K + 1), n_init: int = 2, seed: int = 42) -> DataFrame:
+def elbow(vecs: DataFrame, ks: Iterable[int] = range(1, MAX_K + 1), n_init: int = 25, seed: int = 42) -> DataFrame:
     """Within-cluster sum of squares for each k: ``(k, wss)``."""
-    vecs = vecs.persist()
-    costs = []
-    for k in ks:
-        if k == 1:
-            cost = within_ss(vecs.withColumn("cluster", F.lit(0))).first().wss
-        else:
-            cost = kmeans(vecs, k, n_init, seed).cost
-        costs.append((k, float(cost)))
-    return vecs.sparkSession.createDataFrame(costs, "k int, wss double")
+    ks = list(ks)
+    found = fits(vecs, [k for k in ks if k > 1], n_init, seed)
+    costs = {k: fit.cost for k, fit in found.items()}
+    if 1 in ks:
+        costs[1] = within_ss(vecs.withColumn("cluster", F.lit(0))).first().wss
+    return vecs.sparkSession.createDataFrame([(k, float(costs[k])) for k in ks], "k int, wss double")
 
 
 def silhouette_sq(assigned: DataFrame) -> float:
@@ -208,7 +329,7 @@ def silhouette(assigned: DataFrame) -> DataFrame:
 
 
 def choose_k(
-    vecs: DataFrame, max_k: int = MAX_K, n_init: int = 3, seed: int = 42, measure: str = "squared"
+    vecs: DataFrame, max_k: int = MAX_K, n_init: int = 10, seed: int = 42, measure: str = "squared"
 ) -> DataFrame:
     """Silhouette for k from 2 to ``min(max_k, n - 1)``: ``(k, silhouette, chosen)``.
 
@@ -218,10 +339,8 @@ def choose_k(
     """
     if measure not in ("squared", "euclidean"):
         raise ValueError(f"unknown measure {measure!r}: use 'squared' or 'euclidean'")
-    vecs = vecs.persist()
     scores = []
-    for k in range(2, min(max_k, vecs.count() - 1) + 1):
-        fit = kmeans(vecs, k, n_init, seed)
+    for k, fit in sorted(fits(vecs, range(2, min(max_k, vecs.count() - 1) + 1), n_init, seed).items()):
         assigned = membership(fit, vecs, "vec")
         if measure == "squared":
             score = silhouette_sq(assigned)
@@ -290,25 +409,6 @@ def cluster_cloud(keywords: DataFrame) -> DataFrame:
 # --- cuts of a Ward tree ------------------------------------------------------------
 
 
-def micro_clusters(vecs: DataFrame, k: int, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Centres of k small clusters for ``ward_linkage``, and who belongs to them.
-
-    Returns ``(doc_id, vec, size)``, where ``doc_id`` is the first member, and
-    ``(doc_id, micro)``, where ``micro`` is that first member. A tree over the centres
-    approximates the tree over all documents.
-    """
-    vecs = vecs.persist()
-    assigned = checkpoint(membership(kmeans(vecs, k, n_init=1, seed=seed), vecs, "vec"))
-    groups = assigned.groupBy("cluster").agg(F.min("doc_id").alias("micro"), F.count("*").alias("size"))
-    means = cluster_means(assigned).groupBy("cluster").agg(
-        F.sort_array(F.collect_list(F.struct("dim", "mean"))).alias("means")  # one per dimension
-    )
-    centres = groups.join(means, "cluster").select(
-        F.col("micro").alias("doc_id"), F.transform("means", lambda m: m["mean"]).alias("vec"), "size"
-    )
-    return centres, assigned.join(groups, "cluster").select("doc_id", "micro")
-
-
 def cut_k(tree: DataFrame, k: int) -> DataFrame:
     """The tree's leaves in ``k`` clusters, ``2 <= k <= n``: ``(doc_id, cluster)``.
 

@@ -46,7 +46,7 @@ def vector_report(
     stops: DataFrame | None = None,
     k: int = 4,
     neighbours: int = 5,
-    n_init: int = 3,
+    n_init: int = 25,
     **training,
 ) -> dict[str, DataFrame]:
     """Learned document vectors: neighbours, clusters, keywords and statistics.
@@ -90,7 +90,7 @@ def summary_clusters(
     k: int | None = None,
     dim: int = 384,
     max_k: int = cluster.MAX_K,
-    n_init: int = 3,
+    n_init: int = 10,
     micro: int | None = None,
     max_tokens: int = T.WINDOW_TOKENS,
     overlap: int = T.WINDOW_OVERLAP,
@@ -98,8 +98,8 @@ def summary_clusters(
     """Summaries, their vectors, and clusters of these by ``kmeans`` or ``ward``.
 
     k-means chooses ``k`` by silhouette when it is not given; Ward needs it, and shows
-    the candidates in ``cut_candidates``. ``micro`` makes Ward start from that many
-    small clusters, for a corpus too large for every pair of documents.
+    the candidates in ``cut_candidates``. ``micro`` makes Ward start from at most
+    that many clustering features, for a corpus too large for every pair of documents.
     """
     if method not in ("kmeans", "ward"):
         raise ValueError(f"unknown method {method!r}: use 'kmeans' or 'ward'")

@@ -337,6 +337,11 @@ FROM most m, least l""",
     ),
     "kmeans_from": kmeans_rounds(2),
     "elbow_from": elbow_rounds(range(1, 11), 2),
+    "feature_totals": with_(
+        "x AS (SELECT unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings)",
+        select="""SELECT dim::INTEGER AS dim, round(sum(v), 6) AS total, (SELECT count(*) FROM embeddings)::BIGINT AS n,
+  round((SELECT sum(v * v) FROM x), 4) AS squares FROM x GROUP BY dim""",
+    ),
     "hashed_recall": with_(
         "n AS (SELECT count(*) AS rows, count(*) FILTER (vec_id % 20 = 0) AS queries FROM embeddings)",
         select="""SELECT queries::BIGINT AS queries, (queries * least(5, rows - 1))::BIGINT AS neighbours,

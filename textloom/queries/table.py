@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textloom.functions import text as T
 from textloom.functions.arrays import dot
-from textloom.operators import chunks, cluster, hashing, learned, summary, terms, vectors
+from textloom.operators import chunks, cluster, features, hashing, learned, summary, terms, vectors
 from textloom.plans import flows
 from textloom.queries.settings import PAIR_THRESHOLD, SCORE_DIGITS, STOP_WORDS, WIDE_IDS
 from textloom.sources.corpus import normalize_lines
@@ -458,17 +458,17 @@ def layout_2d(spark, sf_dir):
 @query
 def kmeans(spark, sf_dir):
     vecs = vectors_of(spark, sf_dir).persist()
-    return cluster.membership(cluster.kmeans(vecs, 4, n_init=2), vecs)
+    return cluster.membership(cluster.kmeans(vecs, 4), vecs)
 
 
 @query
 def elbow(spark, sf_dir):
-    return cluster.elbow(vectors_of(spark, sf_dir), n_init=1)
+    return cluster.elbow(vectors_of(spark, sf_dir))
 
 
 @query
 def choose_k(spark, sf_dir):
-    return cluster.choose_k(vectors_of(spark, sf_dir), n_init=1)
+    return cluster.choose_k(vectors_of(spark, sf_dir))
 
 
 @query
@@ -489,6 +489,24 @@ def ward_totals(spark, sf_dir):
     return totals.withColumn("names", names.scalar())
 
 
+@query
+def feature_totals(spark, sf_dir):
+    """Sums over all summaries, by dimension: no row may be lost or counted twice."""
+    found = features.summaries(vectors_of(spark, sf_dir), 256).persist()
+    totals = found.agg(F.sum("size").alias("n"), F.round(F.sum("squares"), 4).alias("squares"))
+    by_dim = found.select(F.posexplode("sums").alias("dim", "x")).groupBy("dim").agg(F.round(F.sum("x"), 6).alias("total"))
+    one = totals.select(F.struct("n", "squares")).scalar()
+    return by_dim.select("dim", "total", one["n"].alias("n"), one["squares"].alias("squares"))
+
+
+@query
+def ward_micro(spark, sf_dir):
+    """The tree over at most 512 clustering features, cut into four, for all documents."""
+    centres, parts = cluster.micro_clusters(vectors_of(spark, sf_dir), 512)
+    cut = cluster.cut_k(checkpoint(cluster.ward_linkage(centres, sizes="size")), 4)
+    return parts.join(cut.withColumnRenamed("doc_id", "micro"), "micro").select("doc_id", "cluster")
+
+
 @query
 def ward_cut(spark, sf_dir):
     return cluster.cut_k(cluster.ward_linkage(vectors_of(spark, sf_dir)).persist(), 4)
@@ -510,5 +528,5 @@ def term_report_documents(spark, sf_dir):
 
 @query
 def summary_clusters(spark, sf_dir):
-    tables = flows.summary_clusters(corpus(spark, sf_dir), stops(spark), k=4, dim=64, n_init=1)
+    tables = flows.summary_clusters(corpus(spark, sf_dir), stops(spark))
     return tables["summaries_with_clusters"]
