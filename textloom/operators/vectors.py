@@ -66,12 +66,12 @@ def embed_hashed(scored: DataFrame, dim: int = 384, term: str = "word") -> DataF
         (value * term_sign(F.col(term))).alias("value"),
     )
     sums = hashed.groupBy("doc_id", "bucket").agg(F.sum("value").cast("double").alias("value"))
-    # At most dim entries per document are gathered here.
-    entries = F.map_from_entries(F.collect_list(F.struct("bucket", "value")))
-    dense = F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda i: F.coalesce(F.element_at(F.col("entries"), i), F.lit(0.0)),
-    )
+    # At most dim entries per document are gathered here, and filled up in their order.
+    entries = F.sort_array(F.collect_list(F.struct("bucket", "value")))
+    before = lambda i: F.coalesce(F.get("entries", i - 1)["bucket"], F.lit(-1))
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n)
+    filled = F.transform("entries", lambda e, i: F.concat(zeros(e["bucket"] - before(i) - 1), F.array(e["value"])))
+    dense = F.concat(F.flatten(filled), zeros(dim - 1 - before(F.size("entries"))))
     gathered = sums.groupBy("doc_id").agg(entries.alias("entries"))
     return gathered.select("doc_id", unit(dense).alias("vec"))
 
