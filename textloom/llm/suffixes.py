@@ -49,16 +49,19 @@ def segments(data: np.ndarray, offsets: np.ndarray, kmer: int):
         return tuple(np.zeros(0, np.int64) for _ in range(3)) + tuple(np.zeros(0, U64) for _ in range(2))
     total, inverse = prefix_hash(data), powers(n + 1)[1]
     hashes = mix((total[kmer:] - total[:-kmer]) * inverse[: n - kmer + 1])
-    bits = U64(n.bit_length())
-    low = (U64(1) << bits) - U64(1)
-    least = (hashes & ~low) | np.arange(len(hashes), dtype=U64)
-    width = 1
+    # The least whole hash, the first of equals: the same in every slice that holds a window.
+    least, at, width = hashes, np.arange(len(hashes), dtype=np.int32 if n < 1 << 31 else np.int64), 1
+
+    def join(least, at, shift, size):
+        left = least[:size] <= least[shift : shift + size]
+        return np.where(left, least[:size], least[shift : shift + size]), np.where(left, at[:size], at[shift : shift + size])
+
     while width * 2 <= span:
-        least = np.minimum(least[:-width], least[width:])
+        least, at = join(least, at, width, len(least) - width)
         width *= 2
     if width < span:
-        least = np.minimum(least[: starts], least[span - width : span - width + starts])
-    at = (least[:starts] & low).astype(np.int64)
+        least, at = join(least, at, span - width, starts)
+    at = at[:starts]
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[:starts]
     whole = np.arange(starts) + LENGTH <= offsets[1:][text]
     first = whole.copy()
@@ -306,14 +309,19 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
     full = met.join(whole, ["key", "h"]).select("k", (F.shiftleft(F.shiftright("at", SHIFT), SHIFT) + count).alias("s"))
     part = met.join(marks, "h").select("k", F.explode("starts").alias("s"), F.shiftright("at", SHIFT).alias("start"))
     part = part.select("k", (F.col("s") + F.shiftleft("start", SHIFT)).alias("s"))
-    return checkpoint(full.union(part).groupBy("k").agg(F.sort_array(F.collect_list("s")).alias("starts")))
+    # Repeated rows share k and bring the same starts: a set keeps one of each.
+    return checkpoint(full.union(part).groupBy("k").agg(F.sort_array(F.collect_set("s")).alias("starts")))
 
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, removed, kept) of every row: spans of bytes, and what is left."""
+    """(doc_id, n_bytes, removed, kept) of every row: spans of bytes, and what is left.
+
+    Other columns are not returned. Repeated rows are copies of each other, so all of them lose
+    what they share.
+    """
     rows = docs.select(F.xxhash64("doc_id", "text").alias("k"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     marked = rows.join(repeated_strings(rows), "k", "left").select("doc_id", "text", "starts")
     kind = docs.schema["doc_id"].dataType
