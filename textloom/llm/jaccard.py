@@ -369,7 +369,8 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
     homes = meets.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= HOMES)
     homes = homes.groupBy("c", "k").agg(F.collect_list("token").alias("homes"))
     texts = homes.join(source.select("k", "text"), "k").select("c", "text", "homes")
-    stored = checkpoint(_sets(texts, size, order))
+    # Repeated rows share k; one of them stands for the class.
+    stored = checkpoint(_sets(texts, size, order).dropDuplicates(["c"]))
 
     blocks = F.ceil(F.col("df") / BLOCK_ROWS).cast("int")
     salts = F.when(F.col("c") == F.col("pivot"), F.sequence(F.lit(0), blocks - 1)).otherwise(
