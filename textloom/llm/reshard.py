@@ -1,7 +1,7 @@
 """Resharding by minimum-cost flow.
 
 Documents lie in old shards. Each old shard is cut into ``BLOCKS`` blocks by a hash of its
-rows; the sizes of all blocks (shards times ``BLOCKS`` numbers, whatever the size of the
+rows and their places in the input; the sizes of all blocks (shards times ``BLOCKS`` numbers, whatever the size of the
 corpus) go to the driver. There a flow network from old to new shards is solved: staying
 costs nothing, moving a byte costs one, every new shard takes an equal share. The flow says
 how many bytes go from which shard to which; blocks are chosen to match it. The map from
@@ -19,7 +19,7 @@ import uuid
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from textloom.sources.tables import checkpoint_folder
+from textloom.sources.tables import checkpoint, checkpoint_folder
 
 BLOCKS = 1024
 #: Bytes of text that one task writes of a shard.
@@ -117,10 +117,14 @@ def reshard(docs: DataFrame, old, shards: int, blocks: int = BLOCKS) -> DataFram
     """
     spark = docs.sparkSession
     names = ("size", "old_shard", "block", "shard", "slot_base", "part")
-    text, doc_id = F.col("text"), F.col("doc_id")
-    rows = docs.withColumn("_old", old.cast("int")).drop(*names).withColumns(
-        {"size": size_of(text), "old_shard": F.col("_old"), "block": F.pmod(F.xxhash64(doc_id, text), F.lit(blocks)).cast("int")}
-    ).drop("_old")
+    if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():
+        # A shuffle may deal its rows anew when it runs again; a written table does not.
+        docs = checkpoint(docs)
+    # The place of a row in the input tells repeated rows apart, so that no block outgrows others.
+    block = F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(blocks)).cast("int")
+    rows = docs.select(
+        *(F.col(f"`{c}`") for c in docs.columns if c not in names), size_of(F.col("text")).alias("size"), old.cast("int").alias("old_shard"), block.alias("block")
+    )
     sizes = rows.groupBy("old_shard", "block").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
     place = choose_blocks({(r.old_shard, r.block): r.size for r in sizes}, shards)
     totals: dict[int, int] = {}
