@@ -288,14 +288,17 @@ def _layers_of_run(layer: Layer, data: bytes | mmap.mmap, places: np.ndarray, st
             gaps.append((at, a))
             at = b
     for a, b in [*gaps, (at, len(data))]:
-        text = data[a:b].decode("utf-8", "surrogateescape")
+        text, ends = data[a:b].decode("utf-8", "surrogateescape"), None
         for m in STRETCH.finditer(text):
             if ASCII_STRETCH.search(m[0]):
-                first = a + len(text[: m.start()].encode("utf-8", "surrogateescape"))
-                code = np.frombuffer(m[0].encode("utf-32-le"), np.uint32)
-                size = 1 + (code >= 0x80).astype(np.int64) + (code >= 0x800) + (code >= 0x10000)
-                last = first + np.cumsum(size)
-                begin, end = places[(last - size) * 4 // 3], places[-(-last * 4 // 3) - 1] + 1
+                if ends is None:
+                    # Where each character ends among the bytes; one that is no UTF-8 is a byte.
+                    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+                    size = 1 + (code >= 0x80).astype(np.int64) + (code >= 0x800) + (code >= 0x10000)
+                    size[(code >= 0xDC80) & (code <= 0xDCFF)] = 1
+                    ends = a + np.cumsum(size)
+                last = ends[m.start() : m.end()]
+                begin, end = places[(last - size[m.start() : m.end()]) * 4 // 3], places[-(-last * 4 // 3) - 1] + 1
                 if layer.begin is not None:
                     begin, end = layer.begin[begin], layer.end[end - 1]
                 yield Layer(m[0], begin, end)
