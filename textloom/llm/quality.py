@@ -2,10 +2,16 @@
 
 Each document gives a vector of four transformed rates (letters per word, symbols, repeated
 lines and repeated words). For each language and source a minimum-covariance-determinant
-estimate is computed: from a robust start (median and quartiles of each coordinate) the
-three quarters of the documents with the least distance give a mean and a covariance,
-those give new distances, and so on for ``STEPS`` concentration steps. A document is
-rejected when its Mahalanobis distance is beyond ``CUTOFF``, a chi-square quantile.
+estimate is searched: the three quarters of the documents with the least distance give a
+mean and a covariance, those give new distances, and so on for ``STEPS`` concentration
+steps. That is done from two starts, one robust (median and quartiles of each coordinate)
+and one plain (mean and covariance of all); of all estimates on the way, the one of least
+determinant is kept. A document is rejected when its Mahalanobis distance is beyond
+``CUTOFF``, a chi-square quantile.
+
+No group is too small for an estimate: the moments of a group are joined by those of its
+language with the weight of ``BORROWED`` documents, and a language's by those of all rows,
+so a group of few documents is judged by its language and nothing jumps at any size.
 
 The estimates are sums over all documents, combined before the shuffle, so a source with a
 third of all rows costs no more than others. Coordinates are whole numbers (ten
@@ -14,8 +20,7 @@ do not depend on the order of rows.
 
 Rates are smoothed towards those of the language and source by ``PRIOR`` words, so that
 short texts do not stand out by chance. The covariance has a floor on its diagonal
-(``FLOOR``), as most documents have no symbol and no repeated line at all. In a group of
-fewer than ``LEAST`` documents that pass the base rules the base rules decide alone.
+(``FLOOR``), as most documents have no symbol and no repeated line at all.
 
 Nulls: a null text has no words and fails the base rules; a null language or source counts
 as an empty one. Repeated rows are rows of their own.
@@ -34,7 +39,8 @@ CUTOFF = 28.5
 #: Its median.
 MEDIAN = 3.357
 PRIOR = 200
-LEAST = 50
+#: Documents for which the language stands in an estimate of a group, all rows in a language's.
+BORROWED = 200
 #: Least standard deviations of the coordinates.
 FLOOR = (0.05, 0.3, 0.3, 0.05)
 SCALE = 10_000
@@ -119,13 +125,32 @@ def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
+def _with_borrowed(moments: DataFrame, n: str, sums: list[str], weight: float) -> DataFrame:
+    """Sums of groups with those of their language and of all rows added at a weight.
+
+    ``n`` counts what the sums are of. There is one row per group here, not per document.
+    """
+    names = [n, *sums]
+    plain = moments.select(*GROUP, *(F.col(c).cast("double").alias(c) for c in names))
+    whole = plain.agg(F.struct(*(F.sum(c).alias(c) for c in names))).scalar()
+    langs = plain.groupBy(GROUP[0]).agg(*(F.sum(c).alias(f"l_{c}") for c in names))
+    joined = plain.join(langs, GROUP[0]).withColumn("w_", whole)
+
+    def add(mine, other, other_n):
+        return mine + weight * other / other_n
+
+    lang = {c: add(F.col(f"l_{c}"), F.col("w_").getField(c), F.col("w_").getField(n)) for c in names}
+    return joined.select(*GROUP, *(add(F.col(c), lang[c], lang[n]).alias(c) for c in names))
+
+
 def _vectors(rows: DataFrame) -> DataFrame:
     """Passing documents with their coordinates z1..z4."""
     counts = ("word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     pooled = rows.groupBy(*GROUP).agg(
-        F.sum("n_words").alias("_n"), F.count("*").alias("_docs"), *(F.sum(c).alias(f"_{c}") for c in counts)
+        F.sum("n_words").alias("_n"), *(F.sum(c).alias(f"_{c}") for c in counts)
     )
-    joined = _meet(rows, pooled.where(F.col("_docs") >= LEAST))
+    pooled = _with_borrowed(checkpoint(pooled), "_n", [f"_{c}" for c in counts], BORROWED * PRIOR)
+    joined = _meet(rows, pooled)
 
     def rate(c):
         return (F.col(c) + PRIOR * F.col(f"_{c}") / F.col("_n")) / (F.col("n_words") + PRIOR)
@@ -163,6 +188,14 @@ def _start(vectors: DataFrame) -> DataFrame:
     return spread.groupBy(*GROUP).agg(*first)
 
 
+def _moments(vectors: DataFrame) -> DataFrame:
+    """Count, sums and sums of products of the coordinates of each group."""
+    whole = [F.col(z).cast("decimal(19,0)") for z in Z]
+    sums = [F.sum(z).alias(f"s{i + 1}") for i, z in enumerate(whole)]
+    sums += [F.sum((whole[i] * whole[j]).cast("decimal(28,0)")).alias(f"q{i + 1}{j + 1}") for i in range(DIM) for j in range(i + 1)]
+    return vectors.groupBy(*GROUP).agg(F.count("*").alias("n"), *sums)
+
+
 def _distances(vectors: DataFrame, estimates: DataFrame) -> DataFrame:
     """``d2``: squared Mahalanobis distance by forward substitution, and its bin."""
     rows = _meet(vectors, estimates)
@@ -185,7 +218,10 @@ def _quantile_bin(distances: DataFrame, q: float, name: str) -> DataFrame:
 
 
 def _cholesky(moments: DataFrame) -> DataFrame:
-    """Mean and lower triangle of the covariance, its diagonal raised to the floor."""
+    """Mean, lower triangle of the covariance, its diagonal raised to the floor, and ``det``,
+    the logarithm of the determinant."""
+    names = [f"s{i}" for i in range(1, DIM + 1)] + [f"q{i}{j}" for i in range(1, DIM + 1) for j in range(1, i + 1)]
+    moments = _with_borrowed(moments, "n", names, BORROWED)
     n = F.col("n").cast("double")
     rows = moments.select(
         *GROUP, "n", *((F.col(f"s{i}").cast("double") / n / SCALE).alias(f"m{i}") for i in range(1, DIM + 1)),
@@ -202,43 +238,77 @@ def _cholesky(moments: DataFrame) -> DataFrame:
             value = F.sqrt(F.greatest(cov, F.lit(FLOOR[i - 1] ** 2 / 100))) if i == j else cov / F.col(f"l{j}{j}")
             rows = rows.withColumn(f"l{i}{j}", value)
     names = [f"m{i}" for i in range(1, DIM + 1)] + [f"l{i}{j}" for i in range(1, DIM + 1) for j in range(1, i + 1)]
-    return rows.select(*GROUP, *names)
+    det = sum((F.log(f"l{i}{i}") for i in range(2, DIM + 1)), F.log("l11"))
+    return rows.select(*GROUP, *names, F.round(2 * det, 9).alias("det"))
 
 
 def _concentrate(vectors: DataFrame, estimates: DataFrame) -> DataFrame:
     """One concentration step."""
     distances = _distances(vectors, estimates)
     inner = _meet(distances, _quantile_bin(distances, SUBSET, "last")).where(F.col("bin") <= F.col("last"))
-    whole = [F.col(z).cast("decimal(19,0)") for z in Z]
-    sums = [F.sum(z).alias(f"s{i + 1}") for i, z in enumerate(whole)]
-    sums += [F.sum((whole[i] * whole[j]).cast("decimal(28,0)")).alias(f"q{i + 1}{j + 1}") for i in range(DIM) for j in range(i + 1)]
-    return _cholesky(inner.groupBy(*GROUP).agg(F.count("*").alias("n"), *sums))
+    return _cholesky(checkpoint(_moments(inner)))
+
+
+def _least_determinant(found: list[DataFrame]) -> DataFrame:
+    """Of all estimates of a group that of least determinant, the first found of equals."""
+    names = [c for c in found[0].columns if c not in (*GROUP, "det")]
+    every = found[0].withColumn("turn", F.lit(0))
+    for turn, estimates in enumerate(found[1:], 1):
+        every = every.unionByName(estimates.withColumn("turn", F.lit(turn)))
+    best = every.groupBy(*GROUP).agg(F.min(F.struct("det", "turn", *names)).alias("best"))
+    return best.select(*GROUP, *(F.col(f"best.{c}") for c in names))
+
+
+def _raises(distances: DataFrame) -> DataFrame:
+    """By what distances are divided, as the inner part is less spread than the whole: their
+    median against that of the distribution; small groups borrow it as they do moments."""
+    bins = checkpoint(distances.groupBy(*GROUP, "bin").agg(F.count("*").alias("n")))
+
+    def of(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+        rows = rows.groupBy(*keys, "bin").agg(F.sum("n").alias("n"))
+        # One row per bin of a key, of which there are no more than bins of a histogram.
+        by = Window.partitionBy(*keys)
+        rows = rows.withColumn("below", F.sum("n").over(by.orderBy("bin"))).withColumn("all", F.sum("n").over(by))
+        middle = F.min(F.when(F.col("below") >= 0.5 * F.col("all"), F.col("bin")))
+        made = rows.groupBy(*keys).agg(middle.alias("m"), F.max("all").alias(f"n_{name}"))
+        return made.select(*keys, f"n_{name}", F.greatest(F.expm1((F.col("m") + 1) / LOG_BINS) / MEDIAN, F.lit(1.0)).alias(name))
+
+    groups, langs = of(bins, GROUP, "own"), of(bins, GROUP[:1], "lang")
+    every = of(bins.withColumn("_every", F.lit(0)), ["_every"], "every").select("every").scalar()
+    lang = (F.col("n_lang") * F.col("lang") + BORROWED * every) / (F.col("n_lang") + BORROWED)
+    own = (F.col("n_own") * F.col("own") + BORROWED * lang) / (F.col("n_own") + BORROWED)
+    return groups.join(langs, GROUP[0]).select(*GROUP, own.alias("raise"))
 
 
 def quality(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Documents with their statistics, ``base_failed``, ``distance`` and ``kept``.
 
-    ``distance`` is null where the base rules decide alone. Columns of these names, and
-    names that start with an underscore, are replaced.
+    ``distance`` is null where the base rules decide alone. Columns of these names are
+    replaced; the others stay, whatever they are called.
     """
     made = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept"}
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in made and not c.startswith("_")]
+    names = [c for c in (docs.columns if keep is None else keep) if c not in made]
+    # The caller's columns go by place, so that none clashes with a name used here.
+    keep = [f"_caller{i}" for i in range(len(names))]
     groups = {g: F.coalesce(F.col(g[1:]).cast("string"), F.lit("")) for g in GROUP}
+    docs = docs.select(*(F.col(f"`{c}`").alias(k) for c, k in zip(names, keep)), "text", *(c.alias(g) for g, c in groups.items()))
     # Rows are numbered once, in a written table, so that verdicts find them again.
-    rows = statistics(docs.withColumns(groups), [*keep, *GROUP]).withColumn("base_failed", base_failed())
+    rows = statistics(docs, [*keep, *GROUP]).withColumn("base_failed", base_failed())
     rows = checkpoint(rows.withColumn("_id", F.monotonically_increasing_id()))
     vectors = checkpoint(_vectors(rows.where(~F.col("base_failed"))))
-    estimates = checkpoint(_start(vectors))
-    for _ in range(STEPS):
-        estimates = checkpoint(_concentrate(vectors, estimates))
-    distances = _distances(vectors, estimates)
-    middle = _quantile_bin(distances, 0.5, "middle")
-    # The inner part is less spread than the whole: distances are scaled to their median.
-    raise_by = F.greatest(F.expm1((F.col("middle") + 1) / LOG_BINS) / MEDIAN, F.lit(1.0))
-    verdicts = _meet(distances, middle).select("_id", (F.col("d2") / raise_by).alias("_d2"))
+    found = []
+    for start in (_start(vectors), _cholesky(checkpoint(_moments(vectors)))):
+        estimates = checkpoint(start)
+        for _ in range(STEPS):
+            estimates = checkpoint(_concentrate(vectors, estimates))
+            found.append(estimates)
+    distances = checkpoint(_distances(vectors, checkpoint(_least_determinant(found))))
+    raised = checkpoint(_raises(distances))
+    verdicts = _meet(distances, raised).select("_id", (F.col("d2") / F.col("raise")).alias("_d2"))
     joined = rows.join(verdicts, "_id", "left")
     return joined.select(
-        *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        *(F.col(k).alias(c) for k, c in zip(keep, names)),
+        "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         F.sqrt("_d2").alias("distance"),
         (~F.col("base_failed") & (F.col("_d2").isNull() | (F.col("_d2") <= CUTOFF))).alias("kept"),
     )
