@@ -1,45 +1,84 @@
 """Language identification by words first, then shorter and shorter character n-grams.
 
-Counts of words per language are taken over all training rows; counts of character
+Counts of words per language are taken over the training rows; counts of character
 n-grams follow from the counts of words. A known word scores by its log frequency in each
 language. An unknown word scores by the longest n-grams of it that are known: it starts at
 ``MAX_GRAM`` characters and backs off until some n-gram of that length is known.
 
-The model is what is broadcast. It holds the ``VOCABULARY`` most frequent words of each
-language and the ``GRAMS`` most frequent n-grams of each language and length; the counts
-below these ranks are in the totals. Ties go by text, so the model is determined.
+The model is what is broadcast, and it holds every word and n-gram that was counted. Its
+size is bounded by what it is fitted on: of each language a sample of labelled rows, drawn
+by a hash of the text and the row's place, of about ``SAMPLE_BYTES`` bytes (all rows where a language has no
+more); texts of more than ``SAMPLE_TEXT`` bytes are not drawn. Prediction reads every row
+and whole texts.
 
-A text that is null or has no letter, or a model without languages, gives ``und`` with
-score 0. Equal scores go to the language that sorts first. Rows are predicted by
+Letters are the characters of the Unicode categories L; a mark (M) goes on with the word that
+it follows. A text that is null or has no letter, or a model without languages, gives ``und``
+with score 0. Equal scores go to the language that sorts first. Rows are predicted by
 themselves.
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
 import math
 import re
+import sys
+import unicodedata
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from textloom.llm.common import map_texts
 from textloom.sources.tables import checkpoint
 
-VOCABULARY = 20_000
-GRAMS = 10_000
+#: Bytes of the labelled texts of a language that the model is fitted on, and of one text.
+SAMPLE_BYTES, SAMPLE_TEXT = 16 << 20, 1 << 20
 MAX_GRAM = 4
 #: Words counted in a task before they are handed on.
 BUFFER = 1 << 18
 #: Words whose scores are remembered in a task.
 CACHE = 1 << 19
-WORD = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
 
 
+@functools.cache
+def word_pattern() -> re.Pattern:
+    """A letter, then letters and marks. Of the standard classes only ``[^\\W\\d_]`` comes near,
+    which also takes numerals such as a half; those that are no letters are taken out."""
+    odd, marks = [], []
+    for c in range(sys.maxunicode + 1):
+        kind = unicodedata.category(chr(c))[0]
+        if kind == "M":
+            marks.append(chr(c))
+        elif kind != "L" and re.match(r"[^\W\d_]", chr(c)):
+            odd.append(chr(c))
+    letter = f"(?:(?![{_spans(odd)}])[^\\W\\d_])"
+    return re.compile(f"{letter}(?:{letter}|[{_spans(marks)}])*")
+
+
+def _spans(chars: list[str]) -> str:
+    """Characters as ranges of a class."""
+    out = []
+    for _, run in itertools.groupby(enumerate(map(ord, chars)), lambda x: x[1] - x[0]):
+        places = [c for _, c in run]
+        out.append(f"\\U{places[0]:08x}-\\U{places[-1]:08x}")
+    return "".join(out)
+
+
+PLAIN = re.compile(r"[^\W\d_]+")
+
+
 def words(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    text = text.lower()
+    # Where no mark and no numeral can be, the plain class finds the same words.
+    return (PLAIN if text.isascii() or not ODD.search(text) else word_pattern()).findall(text)
+
+
+#: Outside of what most texts hold: beyond Latin, Greek and Cyrillic letters, and signs below.
+ODD = re.compile("[\xaa-\xbf\u0300-\u036f\u0483-\uffff\U00010000-\U0010ffff]")
 
 
 def _flush(counts: Counter, names: list[str]):
@@ -102,11 +141,6 @@ def _count_grams(batches):
     yield from _flush(counts, ["lang", "size", "gram", "n"])
 
 
-def _top(counts: DataFrame, keys: list[str], item: str, most: int) -> list:
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), item))
-    return counts.withColumn("rank", rank).where(F.col("rank") <= most).collect()
-
-
 class Model:
     """Log frequencies of words and n-grams in every language."""
 
@@ -117,26 +151,26 @@ class Model:
         self.tables = {}
         for size in range(1, MAX_GRAM + 1):
             rows = ((r.gram, at[r.lang], r.n) for r in gram_counts if r["size"] == size)
-            logs = self._logs(rows, [gram_totals.get((x, size), 0) for x in self.langs])
-            self.tables[size] = {g: i for i, g in enumerate(logs)}, np.array(list(logs.values())).reshape(len(logs), len(self.langs))
+            self.tables[size] = self._logs(rows, [gram_totals.get((x, size), 0) for x in self.langs])
 
     @staticmethod
-    def _logs(rows, totals) -> dict[str, np.ndarray]:
-        counts: dict[str, np.ndarray] = {}
-        for item, lang, n in rows:
-            counts.setdefault(item, np.zeros(len(totals)))[lang] = n
-        below = np.array([math.log(t + len(counts) / 2 + 1) for t in totals])
-        return {item: np.log(n + 0.5) - below for item, n in counts.items()}
+    def _logs(rows, totals) -> tuple[dict[str, int], np.ndarray]:
+        """Place of every item, and its log frequencies there."""
+        places: dict[str, int] = {}
+        found = [(places.setdefault(item, len(places)), lang, n) for item, lang, n in rows]
+        counts = np.zeros((len(places), len(totals)))
+        for place, lang, n in found:
+            counts[place, lang] = n
+        below = np.array([math.log(t + len(places) / 2 + 1) for t in totals])
+        return places, np.log(counts + 0.5) - below
 
     def scores(self, words: list[str]) -> np.ndarray:
         """A row of log frequencies per word; unknown words back off to n-grams."""
         out = np.zeros((len(words), len(self.langs)))
-        todo = []
-        for i, word in enumerate(words):
-            if (known := self.words.get(word)) is not None:
-                out[i] = known
-            else:
-                todo.append(i)
+        places, table = self.words
+        at = np.array([places.get(word, -1) for word in words], np.int64)
+        out[at >= 0] = table[at[at >= 0]]
+        todo = np.flatnonzero(at < 0).tolist()
         for size in range(MAX_GRAM, 0, -1):
             places, table = self.tables[size]
             get, rows, counts, left, scored = places.get, [], [], [], []
@@ -156,22 +190,31 @@ class Model:
         return out
 
 
+def sample(labelled: DataFrame) -> DataFrame:
+    """(text, lang) of the rows that the model is fitted on; see the top."""
+    rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang")
+    rows = rows.where(F.octet_length("text") <= SAMPLE_TEXT)
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).collect()}  # one per language
+    if not sizes:
+        return rows
+    share = F.create_map(*(F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1.0, SAMPLE_BYTES / max(1, n)))))
+    # The place of a row takes part, so that of many copies a share is drawn, not all or none.
+    even = F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(1 << 30)) / float(1 << 30)
+    return rows.withColumn("even", even).where(F.col("even") < F.element_at(share, F.col("lang"))).drop("even")
+
+
 def train(labelled: DataFrame) -> Model:
     """A model of rows (text, lang); rows without a language are left out."""
     schema = "lang string, word string, n long"
-    rows = labelled.where(F.col("lang").isNotNull()).select(F.coalesce("text", F.lit("")).alias("text"), "lang")
-    counts = checkpoint(rows.mapInArrow(_count_words, schema).groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    langs = [r.lang for r in labelled.where("lang IS NOT NULL").select("lang").distinct().collect()]
+    counts = checkpoint(sample(labelled).mapInArrow(_count_words, schema).groupBy("lang", "word").agg(F.sum("n").alias("n")))
     pieces = counts.mapInArrow(_count_grams, "lang string, size int, gram string, n long")
     pieces = checkpoint(pieces.groupBy("lang", "size", "gram").agg(F.sum("n").alias("n")))
     totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     gram_totals = {(r.lang, r["size"]): r.n for r in pieces.groupBy("lang", "size").agg(F.sum("n").alias("n")).collect()}
-    return Model(
-        totals,
-        _top(counts, ["lang"], "word", VOCABULARY),
-        _top(pieces, ["lang", "size"], "gram", GRAMS),
-        totals,
-        gram_totals,
-    )
+    # As many rows as the sample's bytes allow, a bound that does not grow with the corpus.
+    found = counts.orderBy("word", "lang").collect(), pieces.orderBy("size", "gram", "lang").collect()
+    return Model(langs if totals else [], *found, totals, gram_totals)
 
 
 ADDED = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
