@@ -23,14 +23,27 @@ SHINGLE, SIMILARITY = 5, (80, 100)
 LEAST_SCORE = 0.5
 
 
+#: Columns that the operators read; the caller's others are kept aside from their results.
+READ = ("doc_id", "text", "lang")
+
+
+def _aside(docs: DataFrame) -> DataFrame:
+    """All columns of the caller in one struct, beside those that operators read."""
+    return docs.select(*(F.col(c) for c in READ if c in docs.columns), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_caller"))
+
+
+def _back(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.select(*(F.col("_caller").getField(c).alias(c) for c in docs.columns))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the learned languages; learned from the rows that have one."""
     model = langid.train_fold(docs)
     if not model.langs:
         return docs
-    found = langid.predict(docs, model)
+    found = langid.predict(_aside(docs), model)
     sure = (F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)
-    return found.where(sure).select(docs.columns)
+    return _back(found.where(sure), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,24 +53,29 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     alone = F.when(F.col("n_shingles") == 0, F.col("k"))
     first = Window.partitionBy("component_id", alone).orderBy(F.col("doc_id").asc_nulls_last(), "k")
     kept = named.withColumn("place", F.row_number().over(first)).where("place = 1").select("k")
-    rows = docs.withColumn("k", jaccard.row_key()).join(kept.distinct(), "k", "left_semi")
-    return rows.dropDuplicates(["k", "doc_id"]).select(docs.columns)
+    rows = docs.select(jaccard.row_key().alias("k"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_caller"))
+    rows = rows.join(kept.distinct(), "k", "left_semi")
+    # Rows of one id and text are one document; the least of the other columns stays.
+    own = F.col("_caller").getField("doc_id")
+    return _back(rows.groupBy("k", own.alias("own")).agg(F.min("_caller").alias("_caller")), docs)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a ten-word window of a benchmark item."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.decontaminate(docs, benchmark)
-    return found.where(F.size("hits") == 0).select(docs.columns)
+    found = decontaminate.decontaminate(_aside(docs), benchmark)
+    return _back(found.where(F.size("hits") == 0), docs)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets replaced by their kind; ``n_chars`` follows the text."""
-    found = secrets.scan_secrets(docs, redact=True)
-    text = F.when(F.col("text").isNotNull(), F.col("redacted"))
-    changed = F.size("secrets") > 0
-    found = found.withColumns({"text": text, "n_chars": F.when(changed, F.length(text).cast("long")).otherwise(F.col("n_chars"))})
-    return found.select(docs.columns)
+    found = secrets.scan_secrets(_aside(docs), redact=True)
+    caller, changed = F.col("_caller"), F.size("secrets") > 0
+    new = {"text": F.when(F.col("text").isNotNull(), F.col("redacted"))}
+    if "n_chars" in docs.columns:
+        length = F.length("redacted").cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(changed, length).otherwise(caller.getField("n_chars"))
+    return found.select(*(new.get(c, caller.getField(c)).alias(c) for c in docs.columns))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
