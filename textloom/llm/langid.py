@@ -35,7 +35,7 @@ from textloom.llm.common import map_texts
 from textloom.sources.tables import checkpoint
 
 #: Bytes of the labelled texts of a language that the model is fitted on, and of one text.
-SAMPLE_BYTES, SAMPLE_TEXT = 16 << 20, 1 << 20
+SAMPLE_BYTES, SAMPLE_TEXT = 4 << 20, 1 << 18
 MAX_GRAM = 4
 #: Words counted in a task before they are handed on.
 BUFFER = 1 << 18
@@ -147,10 +147,10 @@ class Model:
     def __init__(self, langs, word_counts, gram_counts, word_totals, gram_totals):
         self.langs = sorted(langs)
         at = {lang: i for i, lang in enumerate(self.langs)}
-        self.words = self._logs(((r.word, at[r.lang], r.n) for r in word_counts), [word_totals.get(x, 0) for x in self.langs])
+        self.words = self._logs(((w, at[x], n) for w, x, n in word_counts), [word_totals.get(x, 0) for x in self.langs])
         self.tables = {}
         for size in range(1, MAX_GRAM + 1):
-            rows = ((r.gram, at[r.lang], r.n) for r in gram_counts if r["size"] == size)
+            rows = ((g, at[x], n) for k, g, x, n in gram_counts if k == size)
             self.tables[size] = self._logs(rows, [gram_totals.get((x, size), 0) for x in self.langs])
 
     @staticmethod
@@ -203,6 +203,11 @@ def sample(labelled: DataFrame) -> DataFrame:
     return rows.withColumn("even", even).where(F.col("even") < F.element_at(share, F.col("lang"))).drop("even")
 
 
+def _listed(rows: DataFrame) -> list[tuple]:
+    """Rows in order, brought over as columns."""
+    return sorted(zip(*(c.to_pylist() for c in rows.toArrow().columns)))
+
+
 def train(labelled: DataFrame) -> Model:
     """A model of rows (text, lang); rows without a language are left out."""
     schema = "lang string, word string, n long"
@@ -213,7 +218,7 @@ def train(labelled: DataFrame) -> Model:
     totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     gram_totals = {(r.lang, r["size"]): r.n for r in pieces.groupBy("lang", "size").agg(F.sum("n").alias("n")).collect()}
     # As many rows as the sample's bytes allow, a bound that does not grow with the corpus.
-    found = counts.orderBy("word", "lang").collect(), pieces.orderBy("size", "gram", "lang").collect()
+    found = (_listed(x.select(*names)) for x, names in ((counts, ("word", "lang", "n")), (pieces, ("size", "gram", "lang", "n"))))
     return Model(langs if totals else [], *found, totals, gram_totals)
 
 
