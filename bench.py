@@ -19,7 +19,7 @@ HEADLINE = (
     "term_counts", "tf_idf", "top_terms", "bigram_tf_idf", "top_bigrams", "overall_frequency",
     "corpus_stats", "embed_hashed", "summarize", "summarize_long",
     "cosine_pairs", "top_similar", "similarity_stats", "silhouette", "kmeans_from", "kmeans",
-    "cluster_keywords", "layout_2d", "ward_linkage",
+    "cluster_keywords", "layout_2d", "ward_linkage", "elbow", "choose_k", "similar_hashed", "ward_micro",
 )
 
 
