@@ -150,6 +150,26 @@ def test_chat_events_and_template(spark):
         assert chat.unescape(chat.escape(text)) == text
 
 
+def test_chat_edits_fold_back_to_the_turns(spark):
+    rows = [
+        (1, 0, "user", "é😀\n" * 700), (1, 1, "assistant", "</s>[INST] ok [/INST]" * 90), (1, 2, "assistant", ""), (1, 3, "system", None),
+        (1, 4, None, "x"), (2, 0, "user", "tie"), (2, 0, "user", "tie"), (2, 0, "assistant", "tie"), (2, 1, "[ROLE]</s>", "a" * 512),
+        (None, None, "assistant", "b" * 513), (3, 0, "assistant", None),
+    ]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    turns = turns.withColumn("seq", F.lit("theirs")).withColumn("pieces", F.lit(1))
+    log = chat.log_of_edits(turns)
+    found = sorted((r.conv_id, r.message, r.role, r.text) for r in chat.fold(log.repartition(5)).where("conv_id is not null").collect())
+    assert found == sorted((c, m, r or "", t or "") for c, m, r, t in rows if c is not None)
+    assert chat.fold(log).count() == len(rows)
+    ops = {r.op: r.n for r in log.groupBy("op").agg(F.count("*").alias("n")).collect()}
+    assert ops["regenerate"] == 5 and ops["edit"] == 6 and ops["delta"] > len(rows)
+    late = chat.fold(log.withColumn("seq", -F.col("seq"))).collect()
+    assert all(chat.DRAFT in r.text for r in late)
+    assert chat.log_of_edits(turns.limit(0)).count() == 0
+    assert chat.read_back(chat.render(chat.fold(log))).count() == 4
+
+
 def test_chat_long_conversation_in_parts(spark, monkeypatch):
     turns = spark.range(300).select(
         F.lit(5).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.lit("assistant").alias("role"), F.repeat(F.lit("ab["), 6000).alias("text")

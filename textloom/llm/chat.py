@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 PART_CHARS = 1 << 20
+PIECE_CHARS = 512
+DRAFT = "[draft, to be replaced]"
 MESSAGE = "conv_id bigint, message bigint, role string, text string"
 PART = "conv_id bigint, part int, formatted string, loss array<struct<start: bigint, end: bigint>>"
 DIGEST = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
@@ -56,6 +58,32 @@ def log_of_turns(turns: DataFrame) -> DataFrame:
     return key.select("conv_id", "message", "copy", F.lit(0).cast("long").alias("seq"), F.lit("delta").alias("op"), "role", "text")
 
 
+def log_of_edits(turns: DataFrame) -> DataFrame:
+    """Whole turns (conv_id, turn, role, text) as the log that streaming them would leave.
+
+    Every turn begins as a draft. An assistant's is regenerated and streamed anew in deltas
+    of ``PIECE_CHARS`` characters; that of any other role is edited to its first piece, and
+    deltas bring the rest. Events come latest first, so only sorting by ``seq`` gives the text.
+    Cutting is linear in the text; an empty or null text is one empty piece.
+    """
+    found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"(?s).{{1,{PIECE_CHARS}}}"), F.lit(0))
+    again = F.coalesce(F.col("role") == "assistant", F.lit(False))
+    none = F.lit(None).cast("string")
+
+    def event(seq, op, role, text):
+        return F.struct(seq.cast("long").alias("seq"), op.alias("op"), role.alias("role"), text.alias("text"))
+
+    first = event(F.lit(0), F.lit("delta"), F.col("role"), F.lit(DRAFT))
+    second = event(F.lit(1), F.when(again, "regenerate").otherwise("edit"), none, F.when(~again, F.coalesce(F.get("pieces", F.lit(0)), F.lit(""))))
+    rest = F.slice("pieces", F.when(again, 1).otherwise(2), F.greatest(F.size("pieces"), F.lit(1)))
+    deltas = F.transform(rest, lambda piece, i: event(i + 2, F.lit("delta"), none, piece))
+    # A regenerated message of no piece still is a message.
+    empty = F.when(again & (F.size("pieces") == 0), F.array(event(F.lit(2), F.lit("delta"), none, F.lit("")))).otherwise(deltas)
+    order = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
+    key = turns.select("conv_id", F.col("turn").alias("message"), "role", found.alias("pieces"), F.row_number().over(order).alias("copy"))
+    return key.select("conv_id", "message", "copy", F.inline(F.reverse(F.concat(F.array(first, second), empty))))
+
+
 def _schema(ddl: dict) -> pa.Schema:
     return pa.schema(list(ddl.items()))
 
