@@ -151,13 +151,18 @@ def test_stop_words(spark):
 
 def test_long_stop_lists_are_joined(spark, monkeypatch):
     df = corpus(spark, "alfa il beta gamma", "il delta alfa beta")
-    stops = terms.stop_words(spark, None, ["il", "delta"])
-    short = [sorted(map(tuple, f(df, stops).collect())) for f in (terms.term_counts, terms.bigram_counts)]
+    df = df.union(corpus(spark, "delta delta", "", "gamma delta gamma alfa zeta alfa zeta alfa zeta", None, ids=[2, 3, 4, 5]))
+    stops = terms.stop_words(spark, None, ["il", "delta", "delta", None])
+
+    def found():
+        counts = [sorted(map(tuple, f(df, stops).collect())) for f in (terms.term_counts, terms.bigram_counts)]
+        bags = [{r.doc_id: r for r in terms.term_bags(df, stops, bigrams=b).collect()} for b in (False, True)]
+        return counts, bags
+
+    short = found()
+    assert short[1][0][2].terms == [] and len(short[1][0]) == 6
     monkeypatch.setattr(terms, "MAX_INLINE_STOP_WORDS", 1)
-    long = [sorted(map(tuple, f(df, stops).collect())) for f in (terms.term_counts, terms.bigram_counts)]
-    assert short == long
-    with pytest.raises(ValueError):
-        terms.term_bags(df, stops)
+    assert found() == short
 
 
 def test_repeated_keys_are_added_up(spark):

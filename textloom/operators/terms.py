@@ -111,15 +111,16 @@ def ngrams(corpus: DataFrame, n: int = 2) -> DataFrame:
 
 
 def term_bags(corpus: DataFrame, stops: DataFrame | None = None, bigrams: bool = False) -> DataFrame:
-    """Counted terms of each document: ``(doc_id, total, terms)``, no shuffle.
+    """Counted terms of each document: ``(doc_id, total, terms)``.
 
     ``terms`` is ``array<struct<word, n>>`` (``bigram`` instead of ``word`` with
-    ``bigrams=True``) and ``total`` the sum of its counts. Needs one row per document
-    and a stop list that fits in a plan; ``term_counts`` covers the other cases.
+    ``bigrams=True``) and ``total`` the sum of its counts. Needs one row per document.
+    Without a shuffle where the stop words fit in a plan; a longer table is joined to the
+    distinct words of each document, which gives the same bags.
     """
     listed = [] if stops is None else _short_list(stops)
     if listed is None:
-        raise ValueError(f"more than {MAX_INLINE_STOP_WORDS} stop words: use term_counts")
+        return _without_stop_words(term_bags(corpus, bigrams=bigrams), stops, bigrams)
 
     def keep(word: Column) -> Column:
         return T.token_ok(word) & ~word.isin(listed) if listed else T.token_ok(word)
@@ -134,6 +135,26 @@ def term_bags(corpus: DataFrame, stops: DataFrame | None = None, bigrams: bool =
     return corpus.select("doc_id", counted.alias("bag")).select("doc_id", "bag.total", "bag.terms")
 
 
+def _without_stop_words(bags: DataFrame, stops: DataFrame, bigrams: bool) -> DataFrame:
+    """Bags without a table of stop words of any length; a document may be left with none.
+
+    A word that most documents share is one key of the join: adaptive execution splits its
+    partition, as it does for the idf join.
+    """
+    term = "bigram" if bigrams else "word"
+    listed = stops.select("word").where("word is not null").distinct()
+    rows = bags.select("doc_id", F.inline_outer("terms"))
+    stopped = F.lit(False)
+    for i, part in enumerate([F.split(term, " ")[0], F.split(term, " ")[1]] if bigrams else [F.col(term)]):
+        side = listed.select(F.col("word").alias(f"stop{i}"))
+        rows = rows.withColumn(f"part{i}", part).join(side, F.col(f"part{i}") == F.col(f"stop{i}"), "left")
+        stopped = stopped | F.col(f"stop{i}").isNotNull()
+    # Only a document's own distinct terms are gathered; empty documents have a row with no term.
+    kept = F.collect_list(F.when(F.col("n").isNotNull() & ~stopped, F.struct(term, "n")))
+    gathered = rows.groupBy("doc_id").agg(F.sort_array(kept).alias("terms"))
+    return gathered.select("doc_id", total_of(F.col("terms")).alias("total"), "terms")
+
+
 def total_of(terms: Column) -> Column:
     """Sum of the counts of a bag."""
     return F.aggregate(terms, F.lit(0).cast("long"), lambda acc, t: acc + t["n"])
