@@ -451,3 +451,34 @@ SQL["term_report_documents"] = SQL["doc_stats"]
 
 def all_sql() -> dict[str, str]:
     return dict(SQL)
+
+# Index vectors of four signed entries, windows of ten words, words of five occurrences or more.
+SQL["doc_vectors_indexed"] = with_(
+    f"clean AS ({CLEAN})",
+    f"""toks AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos
+  FROM (SELECT doc_id, regexp_extract_all(clean, '[a-z0-9]+') AS w FROM clean))""",
+    """entries AS (
+  SELECT word, part & 268435455 AS low, CASE WHEN (part >> 28) & 1 = 1 THEN -1 ELSE 1 END AS sign
+  FROM (SELECT word, ('0x' || substr(md5(word), 8 * i + 1, 8))::BIGINT AS part
+        FROM (SELECT DISTINCT word FROM toks), range(4) AS r(i)))""",
+    """around AS (
+  SELECT a.word, b.word AS other, count(*) AS n
+  FROM (SELECT doc_id, word, pos + o AS pos FROM toks, range(-10, 11) AS r(o) WHERE o <> 0) a
+  JOIN toks b ON a.doc_id = b.doc_id AND a.pos = b.pos
+  GROUP BY ALL)""",
+    "common AS (SELECT word FROM toks GROUP BY word HAVING count(*) >= 5)",
+    """sums AS (
+  SELECT a.word, low % 100 AS dim, sum(n * sign)::DOUBLE AS value
+  FROM around a JOIN common USING (word) JOIN entries e ON e.word = a.other GROUP BY ALL)""",
+    """units AS (
+  SELECT word, dim, round(value / sqrt(sum(value * value) OVER (PARTITION BY word)) * 1000000)::BIGINT AS value
+  FROM sums QUALIFY sum(value * value) OVER (PARTITION BY word) > 0)""",
+    "used AS (SELECT doc_id, count(*) AS n FROM toks JOIN common USING (word) GROUP BY doc_id)",
+    """added AS (
+  SELECT doc_id, dim, sum(t.n * value) AS value
+  FROM (SELECT doc_id, word, count(*) AS n FROM toks GROUP BY ALL) t JOIN units USING (word) GROUP BY ALL)""",
+    select="""SELECT doc_id, dim::INTEGER AS dim, coalesce(value / (n * 1000000), 0.0)::DOUBLE AS value
+FROM (SELECT doc_id, unnest(range(100)) AS dim FROM documents)
+LEFT JOIN used USING (doc_id) LEFT JOIN added USING (doc_id, dim)""",
+)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textloom.functions import text as T
 from textloom.functions.arrays import dot
-from textloom.operators import chunks, cluster, features, hashing, learned, summary, terms, vectors
+from textloom.operators import chunks, cluster, features, hashing, indexing, learned, summary, terms, vectors
 from textloom.plans import flows
 from textloom.queries.settings import PAIR_THRESHOLD, SCORE_DIGITS, STOP_WORDS, WIDE_IDS
 from textloom.sources.corpus import normalize_lines
@@ -439,6 +439,13 @@ def pairs_hashed(spark, sf_dir):
     return hashing.pairs_hashed(vectors_of(spark, sf_dir), PAIR_THRESHOLD)
 
 
+@query
+def doc_vectors_indexed(spark, sf_dir):
+    docs = corpus(spark, sf_dir)
+    vecs = indexing.doc_vectors(docs, indexing.word_vectors(docs))
+    return vecs.select("doc_id", F.posexplode("vec").alias("dim", "value"))
+
+
 # --- learned vectors, k-means and Ward: no SQL states them ----------------------
 
 
