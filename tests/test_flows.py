@@ -8,7 +8,7 @@ from textloom.operators import summary, terms
 from textloom.plans import flows
 from textloom.queries import table
 from textloom.sources.corpus import read_corpus
-from textloom.sources.tables import checkpoint, numbered, write_bundle, write_table
+from textloom.sources.tables import checkpoint, numbered, read_bundle, write_bundle, write_table
 
 
 @pytest.fixture
@@ -143,3 +143,32 @@ def test_summary_clusters(spark, tiny, options):
         assert rows.select("cluster").distinct().count() == options["k"]
     with pytest.raises(ValueError):
         flows.summary_clusters(docs, method="ward")
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "csv"])
+def test_bundles_are_read_only_when_finished(spark, tmp_path, fmt):
+    rows = [(1, "a,\"b\"\nc", 0.1), (2, None, None), (3, "é", -2.5)]
+    whole = spark.createDataFrame(rows, "doc_id long, text string, x double")
+    tables = {"whole": whole, "none": whole.limit(0)}
+
+    def save(path):
+        spark.range(3).write.parquet(path)
+
+    paths = write_bundle(tables, str(tmp_path), "1", fmt, models={"model": save})
+    found = read_bundle(spark, str(tmp_path), "1")
+    assert list(found) == ["whole", "none"] and spark.read.parquet(paths["model"]).count() == 3
+    assert sorted(map(tuple, found["whole"].collect())) == rows
+    assert found["none"].count() == 0 and found["none"].schema == whole.schema
+
+    def fails(path):
+        raise OSError("disk full")
+
+    with pytest.raises(OSError):
+        write_bundle(tables, str(tmp_path), "2", fmt, models={"model": fails})
+    with pytest.raises(ValueError, match="not a finished run"):
+        read_bundle(spark, str(tmp_path), "2")
+    whole.write.mode("append").format(fmt).save(paths["whole"])
+    with pytest.raises(ValueError, match="manifest says 3"):
+        read_bundle(spark, str(tmp_path), "1")
+    with pytest.raises(ValueError, match="names"):
+        write_bundle({"manifest": whole}, str(tmp_path), "3", fmt)

@@ -448,9 +448,28 @@ SELECT doc_id, CASE WHEN e > s
 
 SQL["term_report_documents"] = SQL["doc_stats"]
 
-
-def all_sql() -> dict[str, str]:
-    return dict(SQL)
+SQL["term_report_bundle"] = with_(
+    *WORD_BASE,
+    FREQ,
+    scored("counts", "word", "scored"),
+    BIGRAMS,
+    BIGRAM_COUNTS,
+    scored("bcounts", "bigram", "bscored"),
+    """ranked AS (
+  SELECT n, rank() OVER (PARTITION BY doc_id ORDER BY round(n * idf, 9) DESC) AS r FROM scored)""",
+    """branked AS (
+  SELECT n, rank() OVER (PARTITION BY doc_id ORDER BY round(n * idf, 9) DESC) AS r FROM bscored)""",
+    """listed AS (
+  SELECT 'TF_IDF_Full' AS name, n FROM scored
+  UNION ALL SELECT 'Top_Words_Per_Doc', n FROM ranked WHERE r <= 10
+  UNION ALL SELECT 'Top_Bigrams_Per_Doc', n FROM branked WHERE r <= 8
+  UNION ALL SELECT 'Overall_Word_Frequency', total_freq FROM freq
+  UNION ALL SELECT 'Overall_Bigram_Frequency', sum(n) FROM bcounts GROUP BY bigram
+  UNION ALL SELECT 'Document_Statistics', sum(n) FROM counts GROUP BY doc_id
+  UNION ALL SELECT 'Bigram_Analysis_Full', n FROM bscored
+  UNION ALL SELECT 'Word_Frequency_Distribution', total_freq FROM freq)""",
+    select="SELECT name, count(*) AS n_rows, sum(n)::BIGINT AS total FROM listed GROUP BY name",
+)
 
 # Index vectors of four signed entries, windows of ten words, words of five occurrences or more.
 SQL["doc_vectors_indexed"] = with_(
@@ -482,3 +501,7 @@ SQL["doc_vectors_indexed"] = with_(
 FROM (SELECT doc_id, unnest(range(100)) AS dim FROM documents)
 LEFT JOIN used USING (doc_id) LEFT JOIN added USING (doc_id, dim)""",
 )
+
+
+def all_sql() -> dict[str, str]:
+    return dict(SQL)

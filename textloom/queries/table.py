@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -13,7 +14,7 @@ from textloom.operators import chunks, cluster, features, hashing, indexing, lea
 from textloom.plans import flows
 from textloom.queries.settings import PAIR_THRESHOLD, SCORE_DIGITS, STOP_WORDS, WIDE_IDS
 from textloom.sources.corpus import normalize_lines
-from textloom.sources.tables import checkpoint, read_table
+from textloom.sources.tables import checkpoint, checkpoint_folder, read_bundle, read_table, write_bundle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -533,6 +534,19 @@ def term_report_documents(spark, sf_dir):
     return tables["Document_Statistics"]
 
 
+@query
+def term_report_bundle(spark, sf_dir):
+    """All tables of the report, written as a bundle and read back: rows and sum of counts."""
+    root, run_id = f"{checkpoint_folder(spark)}/bundles", str(uuid.uuid4())
+    write_bundle(flows.term_report(corpus(spark, sf_dir), stops(spark)), root, run_id)
+    numbers = {"n", "total_freq", "total_frequency", "total_words", "total_count"}
+    rows = []
+    for name, found in read_bundle(spark, root, run_id).items():
+        number = next(c for c in found.columns if c in numbers)
+        rows.append(found.agg(F.lit(name).alias("name"), F.count("*").alias("n_rows"), F.sum(number).alias("total")))
+    return functools.reduce(DataFrame.unionByName, rows)
+
+
 @query
 def summary_clusters(spark, sf_dir):
     tables = flows.summary_clusters(corpus(spark, sf_dir), stops(spark))

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import contextlib
+import json
 import re
 import tempfile
 import uuid
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -42,19 +45,70 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "err
         raise ValueError(f"unknown format {fmt!r}: use 'parquet' or 'csv'")
 
 
+MANIFEST = "manifest"
+_MANIFEST = "name string, kind string, format string, n_rows long, schema string"
+
+
 def write_bundle(
-    tables: Mapping[str, DataFrame], root: str, run_id: str, fmt: str = "parquet"
+    tables: Mapping[str, DataFrame],
+    root: str,
+    run_id: str,
+    fmt: str = "parquet",
+    models: Mapping[str, Callable[[str], None]] | None = None,
 ) -> dict[str, str]:
     """Write named tables under ``root/run_id=<run_id>/<name>``; return their paths.
 
-    ``run_id`` is normally a time stamp. A run is never written over.
+    ``run_id`` is normally a time stamp. A run is never written over. ``models`` are
+    functions that save a model to the path they are given. A table of what was written,
+    with row counts and schemas, comes last: a run that broke off has none, and
+    ``read_bundle`` refuses it.
     """
-    paths = {name: f"{root.rstrip('/')}/run_id={run_id}/{name}" for name in tables}
+    models = models or {}
+    names = [*tables, *models]
+    if MANIFEST in names or len(set(names)) < len(names):
+        raise ValueError(f"names must differ from each other and from {MANIFEST!r}: {names}")
+    if not names:
+        return {}
+    folder = f"{root.rstrip('/')}/run_id={run_id}"
+    paths = {name: f"{folder}/{name}" for name in names}
     for name, table in tables.items():
         write_table(table, paths[name], fmt)
+    for name, save in models.items():
+        save(paths[name])
+    spark = next(iter(tables.values())).sparkSession if tables else SparkSession.active()
+    rows = [(n, "table", fmt, _read(spark, paths[n], fmt, t.schema).count(), t.schema.json()) for n, t in tables.items()]
+    rows += [(n, "model", None, None, None) for n in models]
+    spark.createDataFrame(rows, _MANIFEST).coalesce(1).write.parquet(f"{folder}/{MANIFEST}")
     return paths
 
 
+def _read(spark: SparkSession, path: str, fmt: str, schema: StructType) -> DataFrame:
+    if fmt == "parquet":
+        return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(schema).csv(path, header=True, escape='"', multiLine=True)
+
+
+def read_bundle(spark: SparkSession, root: str, run_id: str) -> dict[str, DataFrame]:
+    """The tables of a run that ``write_bundle`` finished, by name.
+
+    Raises ``ValueError`` where the run has no manifest or a table has lost or gained rows.
+    An empty string of a csv table comes back as null. Models are loaded from their paths.
+    """
+    folder = f"{root.rstrip('/')}/run_id={run_id}"
+    try:
+        listed = spark.read.schema(_MANIFEST).parquet(f"{folder}/{MANIFEST}").where("kind = 'table'").collect()
+    except AnalysisException as error:
+        raise ValueError(f"{folder} is not a finished run: it has no manifest") from error
+    tables = {}
+    for row in listed:
+        table = _read(spark, f"{folder}/{row.name}", row.format, StructType.fromJson(json.loads(row.schema)))
+        found = table.count()
+        if found != row.n_rows:
+            raise ValueError(f"{row.name} has {found} rows, its manifest says {row.n_rows}")
+        tables[row.name] = table
+    return tables
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder, set from ``spark.checkpoint.dir`` when it has none.
 
