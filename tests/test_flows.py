@@ -7,7 +7,7 @@ from textloom.functions import text as T
 from textloom.operators import summary, terms
 from textloom.plans import flows
 from textloom.queries import table
-from textloom.sources.corpus import read_corpus
+from textloom.sources.corpus import read_checked, read_corpus
 from textloom.sources.tables import checkpoint, numbered, read_bundle, write_bundle, write_table
 
 
@@ -36,6 +36,29 @@ def test_read_corpus(spark, folder):
         read_corpus(spark, str(folder / "missing"))
 
 
+def test_read_checked_lists_rejects(spark, folder):
+    (folder / "bad.txt").write_bytes(b"caf\xe9")
+    (folder / "cut.txt").write_bytes("è".encode()[:1])
+    (folder / "empty.txt").write_bytes(b"")
+    (folder / "long.txt").write_bytes(b"x" * 500)
+    corpus, rejects = read_checked(spark, str(folder), max_bytes=400)
+    texts = {r.doc_id: r.text for r in corpus.collect()}
+    assert texts == {r.doc_id: r.text for r in read_corpus(spark, str(folder)).collect() if r.doc_id in texts}
+    assert sorted(texts) == ["50%+è.txt", "One report.txt", "due.v2.TXT"]  # nor the empty one
+    found = {r.doc_id: (r.reason, r.length) for r in rejects.collect()}
+    assert found == {"bad.txt": ("not UTF-8", 4), "cut.txt": ("not UTF-8", 1), "long.txt": ("too long", 500)}
+    spaced, _ = read_checked(spark, str(folder), strip_ext=True, line_mode="space")
+    assert "Riga uno  riga due è" in {r.text for r in spaced.collect()}
+
+
+def test_read_checked_aborts_on_none(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        read_checked(spark, str(tmp_path))
+    (tmp_path / "bad.txt").write_bytes(b"\xff\xfe")
+    with pytest.raises(ValueError, match="can be read"):
+        read_checked(spark, str(tmp_path))
+
+
 def test_write_table_and_bundle(spark, tmp_path):
     df = spark.createDataFrame([(1, 'a "quoted", word'), (2, "line\nend")], "doc_id int, word string")
     write_table(df.coalesce(1), str(tmp_path / "csv"), "csv")

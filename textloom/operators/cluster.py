@@ -413,9 +413,8 @@ def cut_k(tree: DataFrame, k: int) -> DataFrame:
     """The tree's leaves in ``k`` clusters, ``2 <= k <= n``: ``(doc_id, cluster)``.
 
     The ``k - 1`` highest merges are undone. What remains points from each merged
-    cluster to the one it joined; pointers are doubled until all reach a root, which
-    takes a number of joins that is the logarithm of the longest chain. Clusters are
-    numbered in the order of their first documents.
+    cluster to the one it joined, and ``follow`` takes every leaf to its root. Clusters
+    are numbered in the order of their first documents.
     """
     n = tree.count() + 1
     if not 2 <= k <= n:
@@ -423,15 +422,48 @@ def cut_k(tree: DataFrame, k: int) -> DataFrame:
     leaves = tree.select(F.explode(F.array("left", "right")).alias("doc_id")).distinct()
     links = tree.where(F.col("step") <= n - k).select(F.col("right").alias("doc_id"), F.col("left").alias("root"))
     links = leaves.join(links, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-    links = checkpoint(links)
+    links = checkpoint(follow(checkpoint(links)))
+    roots = numbered(links.where("doc_id = root").select("root").orderBy("root"), "number")
+    return _shared(links, roots, _shares(n)).select("doc_id", (F.col("number") - 1).cast("int").alias("cluster"))
+
+
+# Rows that point to one place meet it in at least this many shares, of a million rows or less.
+SHARES, SHARE_ROWS = 64, 1_000_000
+
+
+def follow(links: DataFrame) -> DataFrame:
+    """Pointers ``(doc_id, root)`` without a cycle, followed to their ends.
+
+    Every ``doc_id`` has one row; an end points to itself. Pointers are doubled, which
+    takes a number of rounds that is the logarithm of the longest chain, and a row that
+    has reached its end takes no part in later rounds.
+    """
+    ended = links.where("doc_id = root")
+    live = links.where("doc_id <> root")
+    shares = _shares(links.count())
     while True:
-        up = links.select(F.col("doc_id").alias("root"), F.col("root").alias("next"))
-        jumped = checkpoint(links.join(up, "root").select("doc_id", "root", "next"))
-        links = jumped.select("doc_id", F.col("next").alias("root"))
-        if jumped.where(F.col("root") != F.col("next")).isEmpty():
-            break
-    roots = numbered(links.select("root").distinct().orderBy("root"), "number")
-    return links.join(roots, "root").select("doc_id", (F.col("number") - 1).cast("int").alias("cluster"))
+        ahead = live.select("*", F.lit(False).alias("ends")).unionByName(ended.select("*", F.lit(True).alias("ends")))
+        ahead = ahead.select(F.col("doc_id").alias("root"), F.col("root").alias("next"), "ends")
+        jumped = checkpoint(_shared(live, ahead, shares).select("doc_id", F.col("next").alias("root"), "ends"))
+        ended = ended.unionByName(jumped.where("ends").drop("ends"))
+        live = jumped.where("not ends").drop("ends")
+        if live.isEmpty():
+            return ended
+
+
+def _shares(rows: int) -> int:
+    return max(SHARES, math.ceil(rows / SHARE_ROWS))
+
+
+def _shared(links: DataFrame, ahead: DataFrame, shares: int) -> DataFrame:
+    """``links`` joined to the one row of ``ahead`` with their ``root``, however many share it.
+
+    The places asked for are found per share first, which a partial aggregate shrinks to
+    at most a row per share and place; the answer goes back to each share as its own key.
+    """
+    links = links.withColumn("share", F.pmod(F.xxhash64("doc_id"), F.lit(shares)).cast("int"))
+    answers = links.select("root", "share").distinct().join(ahead, "root")
+    return links.join(answers, ["root", "share"]).drop("share")
 
 
 # Where a cut is suggested, as parts of the greatest height.

