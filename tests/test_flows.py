@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.operators import summary, terms
+from textloom.operators import learned, summary, terms
 from textloom.plans import flows
 from textloom.queries import table
 from textloom.sources.corpus import read_checked, read_corpus
@@ -130,7 +130,7 @@ def test_term_report(spark, tiny, tmp_path):
     assert list(tables) == [
         "TF_IDF_Full", "Top_Words_Per_Doc", "Top_Bigrams_Per_Doc", "Overall_Word_Frequency",
         "Overall_Bigram_Frequency", "Document_Statistics", "Bigram_Analysis_Full",
-        "Word_Frequency_Distribution",
+        "Word_Frequency_Distribution", "Corpus_Statistics", "Word_Cloud",
     ]
     paths = write_bundle(tables, str(tmp_path), "1")
     full = spark.read.parquet(paths["TF_IDF_Full"])
@@ -142,10 +142,22 @@ def test_term_report(spark, tiny, tmp_path):
     assert stats.agg(F.sum("total_words")).first()[0] == sum(freq)
 
 
-def test_vector_report(spark, tiny):
+def test_vector_report(spark, tiny, tmp_path):
     docs = table.corpus(spark, tiny)
-    tables = flows.vector_report(docs, table.stops(spark), k=3, n_init=1, dim=8, iterations=1, window=3)
+    options = dict(k=3, n_init=1, max_k=3, dim=8, iterations=1, window=3)
+    paths = flows.write_vector_report(docs, str(tmp_path), "1", table.stops(spark), **options)
+    tables = read_bundle(spark, str(tmp_path), "1")
     n = docs.count()
+    # The saved model gives the vectors of the report.
+    trained = learned.load_word_vectors(spark, paths["word_vectors"])
+    again = {r.doc_id: r.vec for r in learned.doc_vectors_w2v(docs, trained).collect()}
+    for r in tables["document_vectors"].collect():
+        assert r.vec == pytest.approx(again[r.doc_id])
+    costs = [r.wss for r in tables["elbow"].orderBy("k").collect()]
+    assert len(costs) == 3 and costs[0] > costs[2]
+    assert tables["similarity_matrix"].agg(F.sum(F.size("cosines"))).first()[0] == n * n
+    assert tables["similarity_pairs"].where("cosine < 0.2 or doc1 = doc2").isEmpty()
+    assert tables["cluster_clouds"].count() == tables["cluster_keywords"].count()
     assert tables["document_vectors"].count() == tables["cluster_membership"].count() == n
     assert tables["similar_documents"].count() == 5 * n
     assert tables["cluster_sizes"].agg(F.sum("documents")).first()[0] == n

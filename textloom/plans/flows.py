@@ -6,15 +6,17 @@ share is written to the checkpoint folder once; the tables themselves are lazy.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, functions as F
 
 from textloom.functions import text as T
 from textloom.operators import chunks, cluster, learned, summary, terms, vectors
-from textloom.sources.tables import checkpoint
+from textloom.sources.tables import checkpoint, write_bundle
 
 
 def term_report(corpus: DataFrame, stops: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Words and bigrams: TF-IDF, top terms, frequencies and document statistics."""
+    """Words and bigrams: TF-IDF, top terms, frequencies, statistics and a word cloud."""
     words = checkpoint(terms.term_bags(corpus, stops))
     bigrams = checkpoint(terms.term_bags(corpus, stops, bigrams=True))
     word_scores = terms.bag_tf_idf(words)
@@ -25,6 +27,8 @@ def term_report(corpus: DataFrame, stops: DataFrame | None = None) -> dict[str,
         return terms.overall_frequency(counts, name=name).orderBy(F.desc(name), "word")
 
     bigram_frequency = terms.overall_frequency(bigram_counts, "bigram", "total_frequency")
+    totals = terms.overall_frequency(counts)
+    statistics = terms.corpus_stats(terms.bag_doc_stats(words), totals, bigram_counts)
     short = ["doc_id", "word", "n", "tf_idf"]
     # Names and columns of the tables.
     return {
@@ -38,41 +42,93 @@ def term_report(corpus: DataFrame, stops: DataFrame | None = None) -> dict[str,
         "Document_Statistics": terms.bag_doc_stats(words).orderBy(F.desc("total_words"), "doc_id"),
         "Bigram_Analysis_Full": terms.tfidf_export(bigram_scores, "bigram"),
         "Word_Frequency_Distribution": frequency("total_count"),
+        "Corpus_Statistics": statistics,
+        "Word_Cloud": terms.cloud_weights(totals),
     }
 
 
-def vector_report(
-    corpus: DataFrame,
-    stops: DataFrame | None = None,
+def vector_tables(
+    vecs: DataFrame,
+    words: DataFrame,
     k: int = 4,
     neighbours: int = 5,
     n_init: int = 25,
-    **training,
+    threshold: float = 0.2,
+    max_k: int = cluster.MAX_K,
 ) -> dict[str, DataFrame]:
-    """Learned document vectors: neighbours, clusters, keywords and statistics.
+    """What the vector report tells of any vectors ``(doc_id, vec)`` and their word bags.
 
-    ``training`` goes to ``train_word_vectors``.
+    Pairs are listed from a cosine of ``threshold``; the matrix is whole, in tiles.
     """
-    trained = learned.train_word_vectors(chunks.word_chunks(corpus), **training)
-    vecs = checkpoint(learned.doc_vectors_w2v(corpus, trained))
+    vecs = checkpoint(vecs.select("doc_id", "vec"))
     similar = checkpoint(vectors.top_similar(vecs, neighbours))
     fit = cluster.kmeans(vecs, k, n_init)
     members = checkpoint(cluster.membership(fit, vecs))
-    words = checkpoint(terms.term_bags(corpus, stops))
+    keywords = checkpoint(cluster.cluster_keywords(words, members, terms.bag_idf(words)))
     statistics = vectors.similarity_stats(vecs).withColumn("clusters", F.lit(k))
     return {
         "document_vectors": vecs,
+        "similarity_pairs": vectors.cosine_pairs(vecs, threshold),
+        "similarity_matrix": vectors.similarity_tiles(vecs),
         "similar_documents": similar,
         "most_similar": vectors.most_similar(similar),
+        "elbow": cluster.elbow(vecs, range(1, max_k + 1), n_init),
         "cluster_membership": members,
         "cluster_sizes": cluster.cluster_sizes(members),
         "cluster_representatives": cluster.cluster_reps(members),
-        "cluster_keywords": cluster.cluster_keywords(words, members, terms.bag_idf(words)),
+        "cluster_keywords": keywords,
+        "cluster_clouds": cluster.cluster_cloud(keywords),
         "layout": learned.layout_2d(vecs).join(members, "doc_id"),
         "summary_statistics": statistics,
     }
 
 
+def vector_report(
+    corpus: DataFrame,
+    stops: DataFrame | None = None,
+    k: int = 4,
+    neighbours: int = 5,
+    n_init: int = 25,
+    threshold: float = 0.2,
+    max_k: int = cluster.MAX_K,
+    **training,
+) -> dict[str, DataFrame]:
+    """Learned document vectors: neighbours, clusters, keywords and statistics.
+
+    ``training`` goes to ``train_word_vectors``.
+    """
+    trained = learned.train_word_vectors(chunks.word_chunks(corpus), **training)
+    return _vector_report(corpus, stops, trained, k, neighbours, n_init, threshold, max_k)
+
+
+def _vector_report(corpus, stops, trained, *options) -> dict[str, DataFrame]:
+    words = checkpoint(terms.term_bags(corpus, stops))
+    return vector_tables(learned.doc_vectors_w2v(corpus, trained), words, *options)
+
+
+def write_vector_report(
+    corpus: DataFrame,
+    root: str,
+    run_id: str,
+    stops: DataFrame | None = None,
+    k: int = 4,
+    neighbours: int = 5,
+    n_init: int = 25,
+    threshold: float = 0.2,
+    max_k: int = cluster.MAX_K,
+    fmt: str = "parquet",
+    **training,
+) -> dict[str, str]:
+    """``vector_report`` as a bundle, with the trained model as ``word_vectors``: the paths.
+
+    The model is read back by ``learned.load_word_vectors``.
+    """
+    trained = learned.train_word_vectors(chunks.word_chunks(corpus), **training)
+    tables = _vector_report(corpus, stops, trained, k, neighbours, n_init, threshold, max_k)
+    save = functools.partial(learned.save_word_vectors, trained)
+    return write_bundle(tables, root, run_id, fmt, models={"word_vectors": save})
+
+
 def embed_texts(texts: DataFrame, stops: DataFrame | None = None, dim: int = 384) -> DataFrame:
     """Hashed TF-IDF vectors of short texts; a text without counted words gets zeros."""
     bags = terms.term_bags(texts, stops).persist()

@@ -497,10 +497,29 @@ SQL["term_report_bundle"] = with_(
   UNION ALL SELECT 'Overall_Bigram_Frequency', sum(n) FROM bcounts GROUP BY bigram
   UNION ALL SELECT 'Document_Statistics', sum(n) FROM counts GROUP BY doc_id
   UNION ALL SELECT 'Bigram_Analysis_Full', n FROM bscored
-  UNION ALL SELECT 'Word_Frequency_Distribution', total_freq FROM freq)""",
+  UNION ALL SELECT 'Word_Frequency_Distribution', total_freq FROM freq
+  UNION ALL SELECT 'Corpus_Statistics', sum(n) FROM counts
+  UNION ALL (SELECT 'Word_Cloud', total_freq FROM freq ORDER BY total_freq DESC, word LIMIT 100))""",
     select="SELECT name, count(*) AS n_rows, sum(n)::BIGINT AS total FROM listed GROUP BY name",
 )
 
+# Four clusters, five neighbours, ten costs; the matrix in tiles of 512 documents a side.
+SQL["vector_report_bundle"] = with_(
+    VECS,
+    PAIRS,
+    "size AS (SELECT count(*) AS n FROM vecs)",
+    f"""listed AS (
+  SELECT unnest(['document_vectors', 'most_similar', 'cluster_membership', 'layout']) AS name, n AS n_rows, NULL AS documents FROM size
+  UNION ALL SELECT 'similar_documents', n * least(5, n - 1), NULL FROM size
+  UNION ALL SELECT 'similarity_pairs', (SELECT count(*) FROM pairs WHERE cosine >= {PAIR_THRESHOLD}), NULL
+  UNION ALL SELECT 'similarity_matrix', ceil(n / 512.0) * ceil(n / 512.0), NULL FROM size
+  UNION ALL SELECT 'elbow', 10, NULL
+  UNION ALL SELECT 'cluster_sizes', 4, n FROM size
+  UNION ALL SELECT 'cluster_representatives', 4, NULL
+  UNION ALL SELECT 'summary_statistics', 1, n FROM size)""",
+    select="SELECT name, n_rows::BIGINT AS n_rows, documents::BIGINT AS documents FROM listed",
+)
+
 # Index vectors of four signed entries, windows of ten words, words of five occurrences or more.
 SQL["doc_vectors_indexed"] = with_(
     f"clean AS ({CLEAN})",

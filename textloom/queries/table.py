@@ -585,7 +585,7 @@ def term_report_bundle(spark, sf_dir):
     """All tables of the report, written as a bundle and read back: rows and sum of counts."""
     root, run_id = f"{checkpoint_folder(spark)}/bundles", str(uuid.uuid4())
     write_bundle(flows.term_report(corpus(spark, sf_dir), stops(spark)), root, run_id)
-    numbers = {"n", "total_freq", "total_frequency", "total_words", "total_count"}
+    numbers = {"n", "total_freq", "total_frequency", "total_words", "total_count", "occurrences", "frequency"}
     rows = []
     for name, found in read_bundle(spark, root, run_id).items():
         number = next(c for c in found.columns if c in numbers)
@@ -593,6 +593,21 @@ def term_report_bundle(spark, sf_dir):
     return functools.reduce(DataFrame.unionByName, rows)
 
 
+@query
+def vector_report_bundle(spark, sf_dir):
+    """The vector report on the given vectors, written as a bundle and read back: rows, documents told of."""
+    root, run_id = f"{checkpoint_folder(spark)}/bundles", str(uuid.uuid4())
+    vecs = vectors_of(spark, sf_dir)
+    write_bundle(flows.vector_tables(vecs, checkpoint(word_bags(spark, sf_dir)), threshold=PAIR_THRESHOLD), root, run_id)
+    told = {"cluster_sizes": F.sum("documents"), "summary_statistics": F.max("documents")}
+    rows = []
+    for name, found in read_bundle(spark, root, run_id).items():
+        if not name.startswith("cluster_keywords") and name != "cluster_clouds":
+            documents = told.get(name, F.lit(None)).cast("long").alias("documents")
+            rows.append(found.agg(F.lit(name).alias("name"), F.count("*").alias("n_rows"), documents))
+    return functools.reduce(DataFrame.unionByName, rows)
+
+
 @query
 def summary_clusters(spark, sf_dir):
     tables = flows.summary_clusters(corpus(spark, sf_dir), stops(spark))
