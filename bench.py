@@ -20,6 +20,7 @@ HEADLINE = (
     "corpus_stats", "embed_hashed", "summarize", "summarize_long",
     "cosine_pairs", "top_similar", "similarity_stats", "silhouette", "kmeans_from", "kmeans",
     "cluster_keywords", "layout_2d", "ward_linkage", "elbow", "choose_k", "similar_hashed", "ward_micro",
+    "cut_chain", "similarity_tiles",
 )
 
 
