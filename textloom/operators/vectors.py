@@ -479,12 +479,11 @@ def write_tiles(tiles: DataFrame, path: str) -> None:
 
 def tiles_long(tiles: DataFrame) -> DataFrame:
     """Tiles as one row per entry: ``(doc1, doc2, cosine)``."""
-    entries = tiles.select("row_ids", "col_ids", F.posexplode("cosines").alias("at", "cosine"))
-    wide = F.size("col_ids")
-    row = F.expr("cast(at div size(col_ids) as int)")
-    return entries.select(
-        F.get("row_ids", row).alias("doc1"), F.get("col_ids", F.col("at") % wide).alias("doc2"), "cosine"
-    )
+    rows = tiles.select(F.posexplode("row_ids").alias("at", "doc1"), "col_ids", "cosines")
+    width = F.size("col_ids")
+    row = F.slice("cosines", F.col("at") * width + 1, width)
+    entries = F.arrays_zip(F.col("col_ids").alias("doc2"), row.alias("cosine"))
+    return rows.select("doc1", F.inline(entries).alias("doc2", "cosine"))
 
 
 def tiles_wide(tiles: DataFrame, ids: Sequence) -> DataFrame:
