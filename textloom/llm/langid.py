@@ -40,7 +40,7 @@ MAX_GRAM = 4
 #: Words counted in a task before they are handed on.
 BUFFER = 1 << 18
 #: Words whose scores are remembered in a task.
-CACHE = 1 << 19
+CACHE = 1 << 17
 UNDETERMINED = "und"
 
 
