@@ -16,6 +16,7 @@ columns of these names are replaced.
 
 from __future__ import annotations
 
+import array
 import base64
 import functools
 import heapq
@@ -28,7 +29,9 @@ from pyspark.sql import DataFrame, types as T
 from textloom.llm.common import map_texts
 
 #: Pieces whose tokens are remembered; at the bound the memory starts anew.
-CACHE = 1 << 19
+CACHE = 1 << 17
+#: Bytes that are worked on at once: every piece of them is a Python object.
+SLICE = 1 << 18
 #: Rank of pairs that make no token.
 NEVER = 1 << 40
 #: Bytes up to which pieces are merged together; longer ones go by a heap each.
@@ -126,14 +129,17 @@ class Merger:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks, self.cache = ranks, {}
         self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
-        pairs = {}
+        # Arrays of whole numbers from the start: a dictionary of so many would stay in a worker's memory.
+        pairs, merged = array.array("q"), array.array("q")
         for token, rank in ranks.items():
             for k in range(1, len(token)):
                 left, right = ranks.get(token[:k]), ranks.get(token[k:])
                 if left is not None and right is not None:
-                    pairs[left << 32 | right] = rank
-        self.pairs = np.array(sorted(pairs), np.int64)
-        self.merged = np.array([pairs[k] for k in self.pairs.tolist()], np.int64)
+                    pairs.append(left << 32 | right)
+                    merged.append(rank)
+        found = np.array(pairs, np.int64)
+        order = np.argsort(found)
+        self.pairs, self.merged = found[order], np.array(merged, np.int64)[order]
 
     def __call__(self, pieces: list[bytes]) -> list[bytes]:
         """Token ids of pieces; those not remembered are merged together."""
@@ -265,7 +271,7 @@ def encode(docs: DataFrame, path: str, keep: list[str] | None = None, starts: bo
 
         return work
 
-    return map_texts(docs, make, added, docs.columns if keep is None else keep)
+    return map_texts(docs, make, added, docs.columns if keep is None else keep, limit=SLICE)
 
 
 def _offsets(sizes: np.ndarray) -> bytes:
@@ -287,4 +293,4 @@ def decode(docs: DataFrame, path: str, keep: list[str] | None = None) -> DataFra
 
         return work
 
-    return map_texts(docs, make, added, docs.columns if keep is None else keep, text="ids")
+    return map_texts(docs, make, added, docs.columns if keep is None else keep, text="ids", limit=SLICE)
