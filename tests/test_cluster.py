@@ -239,3 +239,21 @@ def test_kmeans_from_a_start_with_a_gap(spark):
 def test_ward_refuses_vectors_that_are_not_finite(spark):
     with pytest.raises(Exception, match="not finite"):
         cluster.ward_linkage(frame(spark, [[0.0], [1.0], [float("nan")]])).collect()
+
+
+def test_all_k_share_a_pass_and_end_as_each_alone(spark, monkeypatch):
+    points, _ = planted(groups=4, each=50, dim=3)
+    rng = np.random.default_rng(5)
+    vecs = frame(spark, points + rng.normal(size=points.shape) * 8).unionByName(spark.createDataFrame([(-1, None)], "doc_id long, vec array<double>")).persist()
+    monkeypatch.setattr(cluster, "CORESET", 40)  # the starts see a part of the rows
+    rows = np.array([r.vec for r in vecs.where("vec is not null").collect()])
+    alone = {k: cluster.kmeans(vecs, k, n_init=3) for k in range(2, 7)}
+    passes, moves = [], cluster._moves
+    monkeypatch.setattr(cluster, "_moves", lambda v, centres: (passes.append(sorted(centres)), moves(v, centres))[1])
+    found = cluster.fits(vecs, range(2, 7), n_init=3)
+    assert passes[0] == [2, 3, 4, 5, 6] and len(passes) <= 51
+    assert all(set(b) <= set(a) for a, b in zip(passes, passes[1:])) and sum(map(len, passes)) > len(passes)
+    for k, fit in found.items():
+        assert fit.cost == pytest.approx(alone[k].cost, rel=1e-9)
+        assert np.allclose(fit.centres, alone[k].centres)
+        assert fit.cost == pytest.approx(((rows[:, None, :] - fit.centres[None]) ** 2).sum(axis=2).min(axis=1).sum(), rel=1e-9)
