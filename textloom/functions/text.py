@@ -1,9 +1,10 @@
 """Text expressions: tokens, n-grams, cleaning, extracts and chunks.
 
 Everything is built from Spark SQL functions, so it stays in the JVM next to the
-scan. Patterns use possessive quantifiers: they match what the plain quantifiers
+scan. Patterns use possessive quantifiers on groups: they match what the plain quantifiers
 match here, and the matcher loops instead of recursing, so one odd document
-(say, a megabyte of base64) cannot overflow a task's stack.
+(say, a megabyte of base64) cannot overflow a task's stack. A repeated class of characters
+is a loop either way, and Java's plain quantifier is its faster one.
 """
 
 from __future__ import annotations
@@ -17,10 +18,11 @@ from textloom.functions.arrays import let
 # A word: letters may be joined by a dot, an apostrophe or a middle dot, digits by
 # those marks, a comma or a semicolon, as in Unicode word segmentation (UAX 29);
 # letters, digits and underscores that touch belong together.
+# The letters a to z are letters anyway; named first, they need no look at Unicode's tables.
 WORD_PATTERN = (
-    r"(?:[\p{L}\p{M}]++(?:[.'‘’·][\p{L}\p{M}]++)*+"
-    r"|\p{Nd}++(?:[.,;'‘’]\p{Nd}++)*+"
-    r"|_++)++"
+    r"(?:[a-z\p{L}\p{M}]+(?:[.'‘’·][a-z\p{L}\p{M}]+)*+"
+    r"|\p{Nd}+(?:[.,;'‘’]\p{Nd}+)*+"
+    r"|_+)++"
 )
 NON_SPACE_PATTERN = r"[^ \t\n\r\f\x0b]++"
 
@@ -51,7 +53,7 @@ def spaced_tokens(text: Column) -> Column:
 
 def token_ok(word: Column) -> Column:
     """A word worth counting: no digit, no ASCII apostrophe, three characters or more."""
-    return ~word.rlike("[0-9']") & (F.length(word) >= MIN_WORD_LENGTH)
+    return (F.length(word) >= MIN_WORD_LENGTH) & ~word.rlike("[0-9']")
 
 
 def word_ngrams(toks: Column, n: int = 2) -> Column:
