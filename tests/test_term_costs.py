@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
+from textloom.functions.arrays import millionths
 from textloom.operators import terms
 
 
@@ -37,6 +38,14 @@ def test_an_export_works_out_its_order_once_per_row(bags):
 
 
 
+def test_millionths_are_the_decimals(spark):
+    values = [(x,) for x in (0.0, 0.5e-6, 1.5e-6, 2.0000005, -2.0000005, 1e9 / 3, 0.1 + 0.2, 1234567.8901235, None)]
+    rows = spark.createDataFrame(values, "x double").select(
+        millionths(F.col("x")).alias("m"), F.round("x", 6).cast("decimal(28,6)").alias("d")
+    )
+    for r in rows.collect():
+        assert (r.m is None) if r.d is None else r.m == r.d.scaleb(6)
+
 
 def test_words_are_those_of_the_possessive_pattern(spark):
     possessive = (
